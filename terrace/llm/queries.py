@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from terrace.llm import exact_dedup
+from terrace.llm import bpe, decontaminate, exact_dedup, language
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": decontaminate.op2,
         "op5_exact_dedup": exact_dedup.op5,
+        "op8_byte_bpe": bpe.op8,
+        "op9_language_id": language.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {
+        "op2_decontamination": decontaminate.OP2_SQL,
+        "op5_exact_dedup": exact_dedup.OP5_SQL,
+    }
