@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import read
+from terrace.llm.shared import read, ship_code
 
 #: Pieces whose encoding a worker remembers; beyond it the memory starts anew, results stay.
 CACHE_PIECES = 300_000
@@ -165,6 +165,7 @@ def _vocabulary(data: bytes) -> Vocabulary:
 
 def _shipped(spark: SparkSession, path: str) -> Broadcast:
     """The rank file's bytes on every executor; their number is that of the vocabulary's tokens."""
+    ship_code(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import read, stored
+from terrace.llm.shared import read, ship_code, stored
 
 SEGMENT_BYTES, BLOCK_WORDS, WINDOW = 4 << 20, 400_000, 10
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -65,8 +65,10 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ids too. An empty table gives an empty index.
     """
 
+    schema = _arrow(INDEX_SCHEMA)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, schema = TaskContext.get().partitionId() << 32, _arrow(INDEX_SCHEMA)
+        base = TaskContext.get().partitionId() << 32
         for k, (ids, texts) in enumerate(segments(batches)):
             number: dict[bytes, int] = defaultdict()
             number.default_factory = number.__len__
@@ -82,6 +84,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             row = [[base + k], [ids], [lens], [b"\n".join(number)], [counts.tobytes()], [np.diff(places, prepend=np.int32(0)).tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
 
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("binary"))
     return stored(rows.mapInArrow(build, INDEX_SCHEMA), "index")
 
@@ -161,12 +164,15 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
     an id count as one; slop (at most GAP - 1) admits proximity matches.
     """
     spark = index.sparkSession
+    ship_code(spark)
     if not 0 <= slop < GAP:
         raise ValueError(f"slop must lie in 0..{GAP - 1}")
 
+    schema = _arrow(FOUND_SCHEMA)
+
     def visit(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted, schema = QueryBlock(block.value), _arrow(FOUND_SCHEMA)
+            wanted = QueryBlock(block.value)
             for batch in batches:
                 for row in batch.to_pylist():
                     lens = np.array(row["n_words"], np.int64)

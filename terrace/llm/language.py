@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import fold_of, read
+from terrace.llm.shared import fold_of, read, ship_code
 
 WINDOW, BATCH = 128, 1024
 WIDTHS = (2, 3, 4)
@@ -165,6 +165,7 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net.folded())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,25 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _scratch: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this subpackage to the executors' Python workers, once an application, so that the
+    functions passed to mapInArrow need no installation there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(root.glob("*.py")):
+            z.writestr(f"terrace/llm/{f.name}", f.read_bytes())
+        z.writestr("terrace/__init__.py", (root.parent / "__init__.py").read_bytes())
+    path = Path(tempfile.mkdtemp(prefix="terrace-code-")) / "terrace_llm.zip"
+    path.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
 
 
 def scratch_dir(spark: SparkSession) -> str:
