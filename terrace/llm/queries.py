@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from terrace.llm import bpe, decontaminate, exact_dedup, language
+from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": decontaminate.op2,
+        "op3_url_filter": url_filter.op3,
         "op5_exact_dedup": exact_dedup.op5,
+        "op6_line_templates": line_templates.op6,
         "op8_byte_bpe": bpe.op8,
         "op9_language_id": language.op9,
+        "op10_toxicity": toxicity.op10,
     }
 
 
@@ -18,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontaminate.OP2_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op6_line_templates": line_templates.OP6_SQL,
     }
