@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, toxicity, url_filter
+from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, pii, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1,
         "op2_decontamination": decontaminate.op2,
         "op3_url_filter": url_filter.op3,
         "op5_exact_dedup": exact_dedup.op5,
