@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, pii, toxicity, url_filter
+from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, lm_score, pii, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pii": pii.op1,
         "op2_decontamination": decontaminate.op2,
         "op3_url_filter": url_filter.op3,
+        "op4_lm_score": lm_score.op4,
         "op5_exact_dedup": exact_dedup.op5,
         "op6_line_templates": line_templates.op6,
         "op8_byte_bpe": bpe.op8,

@@ -85,4 +85,4 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the input's size in bytes; for files, their total size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
