@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, lm_score, pii, toxicity, url_filter
+from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, lm_score, ngram_join, pii, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_lm_score": lm_score.op4,
         "op5_exact_dedup": exact_dedup.op5,
         "op6_line_templates": line_templates.op6,
+        "op7_ngram_join": ngram_join.op7,
         "op8_byte_bpe": bpe.op8,
         "op9_language_id": language.op9,
         "op10_toxicity": toxicity.op10,
