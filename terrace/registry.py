@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from terrace.plans import task_queries
+
 FLAGSHIP = "t1_analysis"
+MODULES = (task_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
