@@ -55,6 +55,6 @@ def analyze(table: DataFrame) -> DataFrame:
     latest = table.agg(F.max("year_month").alias("year_month"))
     ranked = (
         table.join(F.broadcast(latest), "year_month", "left_semi")
-        .select("district_code", F.row_number().over(Window.orderBy(F.desc("mean_price_per_m2"), "district_code")).alias("price_rank"))
+        .select("district_code", F.row_number().over(Window.orderBy(F.desc("mean_price_per_m2"), "district_code")).cast("bigint").alias("price_rank"))
     )
     return change_on_year(table, "mean_price_per_m2", "mean_price_yoy_change").join(ranked, "district_code", "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrace.plans import task_queries
+from terrace.plans import measure_queries, task_queries
 
 FLAGSHIP = "t1_analysis"
-MODULES = (task_queries,)
+MODULES = (task_queries, measure_queries)
 
 
 def queries() -> dict:
