@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 INTEGER = r"^[+-]?[0-9]+$"
 DECIMAL = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -118,10 +119,13 @@ def area_bucket(area: Column | str, edges: tuple[float, ...] = AREA_EDGES) -> Co
     return out.otherwise(f"{edges[-1]:g}+")
 
 
-@pandas_udf("string")
-def nfc(names: pd.Series) -> pd.Series:
+def nfc(c: Column | str) -> Column:
     """Unicode normal form C, which Spark has no function for; apply it to distinct values."""
-    return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+    def normal(names: pd.Series) -> pd.Series:
+        return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+    return pandas_udf(normal, StringType())(as_column(c))
 
 
 def plain_name(c: Column | str) -> Column:

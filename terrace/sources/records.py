@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators.contract import json_kind
 
 ORDINAL = "_ordinal"
+#: The reader's functions travel with the plan, so that executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Headers of the bike sources by generation, column by column.
 _BIKE = ("대여소번호", "대여소명", "대여구분코드", "성별", "연령대코드", "이용건수", "운동량", "탄소량")
