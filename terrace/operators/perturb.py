@@ -32,8 +32,8 @@ class Mutation:
 
 
 def to_variant(c: Column) -> Column:
-    """A scalar column as a JSON value of its type."""
-    return F.parse_json(F.get_json_object(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), "$.v"))
+    """A scalar column as a JSON value of its type; null is absent."""
+    return F.try_variant_get(F.parse_json(F.to_json(F.struct(c.alias("v")))), "$.v", "variant")
 
 
 def text_of(c: str) -> Column:
@@ -42,7 +42,7 @@ def text_of(c: str) -> Column:
 
 def json_text(c: Column) -> Column:
     """A text column as JSON strings."""
-    return F.parse_json(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
+    return to_variant(c.cast("string"))
 
 
 def mapped(columns: Sequence[str], change: Callable[[Column], Column], when: Callable[[Column], Column] | None = None) -> Change:
