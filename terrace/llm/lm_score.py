@@ -187,9 +187,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: str
     """
     spark = docs.sparkSession
     ship_code(spark)
-    buckets = buckets_for(input_bytes(docs))
     role = F.when(F.col(fold) == 0, HELD_OUT).when(F.col(fold) == 1, DELETED).otherwise(RETAINED)
     segments = _segments(docs.select(F.col(doc_id).cast("bigint"), role.cast("int").alias("role"), F.col(text).cast("binary")))
+    buckets = buckets_for(input_bytes(segments))
     answers = _exchange(segments, buckets)
     sums = answers.filter("kind = 1").agg(F.sum("total").alias("n"), F.sum("different").alias("v")).first()
     total, different = sums["n"] or 0, sums["v"] or 0

@@ -84,5 +84,5 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input's size in bytes; for files, their total size."""
+    """The optimizer's estimate of a frame's size in bytes: for a stored table, its files' size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
