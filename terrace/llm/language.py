@@ -193,9 +193,9 @@ def trained_on(docs: DataFrame, per_lang: int = 1500) -> ByteNet:
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """docs without those of undetermined language; same columns."""
-    judged = predict(docs, trained_on(docs))
-    return judged.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """docs without those of undetermined language; same columns, whatever their names."""
+    judged = predict(docs.select(F.struct(*docs.columns).alias("__row"), "text"), trained_on(docs))
+    return judged.filter(F.col("lang_pred") != UNDETERMINED).select("__row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,7 +319,8 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     nothing = language.train(language.sample(docs.limit(0)))
     assert language.predict(docs.limit(3), nothing).select("lang_pred").distinct().collect()[0][0] == "und"
-    assert language.keep_known_languages(docs).count() == len(rows)
+    kept = language.keep_known_languages(clashing(frame(spark, rows + odd, docs.schema)))
+    assert kept.count() == len(rows) + 1 and {r.score for r in kept.select("score").distinct().collect()} == {"x"}
 
 
 def test_folded_network_gives_the_same_sums():
