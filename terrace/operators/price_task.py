@@ -40,21 +40,25 @@ def gold(prepared: DataFrame) -> DataFrame:
 
 
 def change_on_year(table: DataFrame, value: str, out: str, how: Column | None = None) -> DataFrame:
-    """Adds the change of `value` on the same month a year before, found by key and not by place:
-    relative, or `how` over columns `now` and `before`."""
+    """Adds the change of `value` on the same month a year before: relative, or `how` over columns
+    `now` and `before`.
+
+    The month before is found by its key and not by its place: the frame holds just the rows whose
+    year and month, as a number, lie 100 below. So one shuffle by district does, without a self-join.
+    """
     ratio = how if how is not None else F.when(F.col("before") != 0, F.col("now") / F.col("before") - 1)
-    before = table.select("district_code", F.col("year_month").alias("__earlier"), F.col(value).alias("before"))
-    joined = table.withColumns({"__earlier": fn.previous_year("year_month"), "now": F.col(value)}).join(before, ["district_code", "__earlier"], "left")
-    return joined.withColumn(out, ratio).drop("__earlier", "now", "before")
+    month = F.substring("year_month", 1, 4).try_cast("int") * 100 + F.substring("year_month", 6, 2).try_cast("int")
+    earlier = Window.partitionBy("district_code").orderBy("__month").rangeBetween(-100, -100)
+    framed = table.withColumns({"__month": month, "now": F.col(value)}).withColumn("before", F.first("now").over(earlier))
+    return framed.withColumn(out, ratio).drop("__month", "now", "before")
 
 
 def analyze(table: DataFrame) -> DataFrame:
     """Gold with mean_price_yoy_change and price_rank: 1 to n by descending mean in the latest
     month, attached to all months of a district; ties go by district. Districts without a row in
     the latest month have no rank."""
-    latest = table.agg(F.max("year_month").alias("year_month"))
-    ranked = (
-        table.join(F.broadcast(latest), "year_month", "left_semi")
-        .select("district_code", F.row_number().over(Window.orderBy(F.desc("mean_price_per_m2"), "district_code")).cast("bigint").alias("price_rank"))
-    )
+    last = table.groupBy("district_code").agg(F.max(F.struct("year_month", "mean_price_per_m2")).alias("last"))
+    everywhere = Window.partitionBy()  # one row a district
+    latest = last.withColumn("__latest", F.max("last.year_month").over(everywhere)).filter(F.col("last.year_month") == F.col("__latest"))
+    ranked = latest.select("district_code", F.row_number().over(Window.orderBy(F.desc("last.mean_price_per_m2"), "district_code")).cast("bigint").alias("price_rank"))
     return change_on_year(table, "mean_price_per_m2", "mean_price_yoy_change").join(ranked, "district_code", "left")

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from terrace import registry
@@ -12,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def normal(df):
     df = df[sorted(df.columns)].astype(object)
-    rows = [tuple("" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)[:10] if hasattr(v, "year") else str(v) for v in r) for r in df.itertuples(index=False)]
+    rows = [tuple("" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)[:10] if hasattr(v, "year") else str(v) for v in r) for r in df.itertuples(index=False)]
     return sorted(rows)
 
 
