@@ -31,11 +31,21 @@ def prepared_from_silver(silver: DataFrame) -> DataFrame:
 
 def gold(prepared: DataFrame) -> DataFrame:
     """Count, mean and exact median of the prices by district and month; rows without a price or
-    a key are left out."""
-    return (
-        prepared.filter("price_per_m2 is not null and not isnan(price_per_m2) and district_code is not null and year_month is not null")
-        .groupBy("district_code", "year_month")
-        .agg(F.count("price_per_m2").alias("n_deals"), F.avg("price_per_m2").alias("mean_price_per_m2"), F.median("price_per_m2").alias("median_price_per_m2"))
+    a key are left out.
+
+    Prices are counted by value first, on the map side and spread by district, month and price, so a
+    district with a third of all deals is no hot group; the median is read off the running counts.
+    """
+    keys = ["district_code", "year_month"]
+    usable = prepared.filter("price_per_m2 is not null and not isnan(price_per_m2) and district_code is not null and year_month is not null")
+    counted = usable.groupBy(*keys, F.col("price_per_m2").alias("price")).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys)
+    running = counted.withColumns({"seen": F.sum("n").over(group.orderBy("price")), "total": F.sum("n").over(group)})
+    middle = lambda place: F.min(F.when(F.col("seen") >= place, F.col("price")))
+    return running.groupBy(*keys).agg(
+        F.sum("n").alias("n_deals"),
+        (F.sum(F.col("price") * F.col("n")) / F.sum("n")).alias("mean_price_per_m2"),
+        ((middle(F.floor((F.col("total") + 1) / 2)) + middle(F.floor(F.col("total") / 2) + 1)) / 2).alias("median_price_per_m2"),
     )
 
 
