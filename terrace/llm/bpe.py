@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from terrace.llm.shared import read, ship_code
 
 #: Pieces whose encoding a worker remembers; beyond it the memory starts anew, results stay.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 CACHE_SEAMS = 1_000_000
 SLICE_ROWS = 256
 
@@ -40,7 +43,6 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self._agrees: dict[int, bool] = {}
@@ -53,6 +55,13 @@ class Vocabulary:
                     self.halves[i] = two
                     self.merged[two] = i
 
+        #: Finds all tokens that end at a byte, from the longest to the shortest; bytes as latin-1.
+        self.finder = ahocorasick.Automaton()
+        for t, i in ranks.items():
+            if len(t) == 1 or i in self.halves:
+                self.finder.add_word(t.decode("latin-1"), (len(t), i))
+        self.finder.make_automaton()
+
     def _last_merge(self, t: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens that BPE joins last to make t, by plain merging below its rank."""
         parts = [t[k : k + 1] for k in range(len(t))]
@@ -96,16 +105,23 @@ class Vocabulary:
     def extend(self, piece: bytes, last: list[int], start: list[int]) -> None:
         """Continues the prefix table of a piece: last[k] is the last token of piece[: k + 1],
         start[k] where that token begins."""
-        get, agrees = self.ranks.get, self.agrees
-        for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                t = get(piece[begin:end])
-                if t is not None and (begin == 0 or agrees(last[begin - 1], t)) and (end - begin == 1 or t in self.halves):
-                    last.append(t)
-                    start.append(begin)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end} of {piece!r}")
+        seam, agrees, done = self._agrees.get, self.agrees, len(last)
+        for at, (length, t) in self.finder.iter(piece.decode("latin-1")):
+            if at < done:
+                continue
+            if at > done:
+                break
+            begin = at + 1 - length
+            if begin:
+                left = last[begin - 1]
+                fits = seam(left << 32 | t)
+                if not (agrees(left, t) if fits is None else fits):
+                    continue
+            last.append(t)
+            start.append(begin)
+            done += 1
+        if done < len(piece):
+            raise ValueError(f"no token ends at byte {done} of {piece!r}")
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -126,6 +142,21 @@ def read_back(last: list[int], start: list[int]) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
+class Memory(dict):
+    """Encodings of pieces seen lately; a new piece is encoded by its prefix table."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.encode_piece = vocabulary.encode_piece
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        got = self.encode_piece(piece.encode())
+        if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoded:
     """A text with the encoding of its pieces, open to exact appends and edits."""
 
@@ -182,25 +213,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     schema = docs.select(*kept, F.col(text), F.lit(b"").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, find, known = _vocabulary(ranks.value), regex.compile(pattern).findall, {}
-        encode_piece = vocabulary.encode_piece
-
+        find, ids_of = regex.compile(pattern).findall, Memory(_vocabulary(ranks.value)).__getitem__
+        gc.disable()  # nothing here makes cycles, and the memory is large
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                packed = []
-                for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                    ids: list[int] = []
-                    for piece in find(t or ""):
-                        got = known.get(piece)
-                        if got is None:
-                            got = encode_piece(piece.encode())
-                            if len(piece) <= 64:
-                                if len(known) >= CACHE_PIECES:
-                                    known.clear()
-                                known[piece] = got
-                        ids += got
-                    packed.append(np.array(ids, "<u4").tobytes())
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                packed = [np.fromiter(chain.from_iterable(map(ids_of, find(t or ""))), "<u4").tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, out])
 
     return docs.select(*kept, F.col(text)).mapInArrow(run, schema)
