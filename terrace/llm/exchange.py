@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 
 #: Bytes of input for each bucket.
 BUCKET_BYTES = 4 << 20
@@ -52,6 +53,17 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<i4" if len(data) == 4 * n else "<i8").astype(np.int64)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Small non-negative numbers by byte planes, compressed: what a segment keeps of its tokens."""
+    planes = numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
 def gathered(answers: list[tuple[int, bytes]], order: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Answers by bucket, put back into the order of the segment's keys."""
     out = np.zeros(len(order), np.int64)

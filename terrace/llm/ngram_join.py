@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.exchange import batches, buckets_for, gathered, hashes_of, packed, spread
+from terrace.llm.exchange import batches, buckets_for, gathered, hashes_of, packed, spread, squeezed, unsqueezed
 from terrace.llm.lm_score import _schema
 from terrace.llm.shared import input_bytes, read, ship_code, stored
 
-SEGMENT_BYTES, BLOCK, FRAGMENT = 4 << 20, 512, 4096
+SEGMENT_BYTES, BLOCK, FRAGMENT = 6 << 20, 512, 4096
 WORDS, PERCENT = 5, 75
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -95,7 +95,7 @@ def _segments(docs: DataFrame, n: int) -> DataFrame:
         lens = np.array([len(p) for p in parts], np.int64)
         hashes = hashes_of(number, len(number))
         sizes = np.bincount(gram_sets(tokens, lens, hashes, n)[0], minlength=len(lens))
-        return segment, ids, keys, digests, [int(sizes[known[d]]) if d else 0 for d in digests], active, lens, tokens.tobytes(), hashes.tobytes()
+        return segment, ids, keys, digests, [int(sizes[known[d]]) if d else 0 for d in digests], active, lens, squeezed(tokens), hashes.tobytes()
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         segment, held, size = TaskContext.get().partitionId() << 32, ([], [], []), 0
@@ -114,7 +114,7 @@ def _segments(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _own_grams(r: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return gram_sets(np.frombuffer(r["tokens"], np.int32), np.array(r["lens"], np.int64), np.frombuffer(r["hashes"], np.uint64), n)
+    return gram_sets(unsqueezed(r["tokens"]), np.array(r["lens"], np.int64), np.frombuffer(r["hashes"], np.uint64), n)
 
 
 def _frequencies(segments: DataFrame, buckets: int, n: int) -> DataFrame:
@@ -284,8 +284,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     ship_code(spark)
-    buckets = buckets_for(input_bytes(docs))
     segments = _segments(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(row_key or doc_id).cast("bigint").alias("key"), F.col(text).cast("binary").alias("text")), n)
+    buckets = buckets_for(input_bytes(segments))
     found = _candidate_sets(segments, _frequencies(segments, buckets, n), buckets, n, percent)
     sets = stored(found.groupBy("digest").agg(F.first(F.struct("size", "prefix", "grams")).alias("s")).select("digest", "s.*"), "sets")
 
