@@ -1,10 +1,12 @@
 """Line deduplication by a log-template tree of fixed depth (native).
 
 A line descends by its number of tokens and by its leading tokens (tokens with a digit count as a
-variable field) to a leaf. In a leaf, the commonest token of each place forms the leaf's template;
-lines that agree with it in at least `similarity` of their places belong to it, places where they
-differ are variable fields. Any other line is a template of its own. Lines of templates that occur
-in at least `min_docs` documents are dropped.
+variable field) to a leaf. In a leaf, the commonest token of each place forms a template; lines that
+agree with it in at least `similarity` of their places belong to it, places where they differ are
+variable fields. The lines it leaves vote again, so a leaf holds as many templates as recur in it;
+where a vote mixes several templates and takes no `min_docs` documents, the lines are parted by the
+commonest token of their most voted differing place and each part votes for itself. Any other line
+is a template of its own. Lines of templates that occur in at least `min_docs` documents are dropped.
 """
 
 from __future__ import annotations
@@ -35,6 +37,39 @@ def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
     return masked.select("__key", "place", "masked", leaf.alias("leaf"), F.md5("masked").alias("line"))
 
 
+def _members(tokens: DataFrame, similarity: float, min_docs: int) -> DataFrame:
+    """(line, template) of the lines that templates take; tokens has group (at first the leaf), line, docs, at and token.
+
+    Rounds end when no group is left that could hold a template of min_docs documents: for one, the
+    votes of the commonest tokens, min_docs at most in each place, must reach the agreement of
+    min_docs documents. That holds for parts of a group too, so nothing is left out by it.
+    """
+    found, rounds = [], 0
+    while rounds == 0 or not tokens.isEmpty():
+        votes = tokens.groupBy("group", "at", "token").agg(F.sum("docs").alias("votes"))
+        top = stored(votes.groupBy("group", "at").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all")).select("group", "at", "top.*", "all"), "top")
+        # The place to split at: the most voted one of those where lines differ.
+        differing = F.when(F.col("votes") < F.col("all"), F.struct("votes", (-F.col("at")).alias("at")))
+        able = top.groupBy("group").agg(F.sum(F.least("votes", F.lit(min_docs))).alias("support"), F.count("*").alias("places"), F.max(differing).alias("split"))
+        able = able.filter(F.col("support") >= similarity * F.col("places") * min_docs - 1e-6).select("group", (-F.col("split.at")).alias("split"))
+        template = top.join(able, "group").select("group", "at", F.col("token").alias("common"), "split")
+        same = F.col("token") == F.col("common")
+        shares = tokens.join(template, ["group", "at"]).groupBy("group", "line").agg(F.first("docs").alias("docs"), F.avg(same.cast("int")).alias("share"), F.max(F.when(F.col("at") == F.col("split"), same)).alias("side"))
+        shares = stored(shares, "shares")
+        taking = shares.filter(F.col("share") >= similarity).groupBy("group").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("group", F.lit(True).alias("takes"))
+        placed = shares.join(taking, "group", "left").withColumn("member", F.coalesce(F.col("takes") & (F.col("share") >= similarity), F.lit(False)))
+        found.append(stored(placed.filter("member").select("line", F.concat_ws(" ", "group", F.lit(str(rounds))).alias("template")), "members"))
+        left = placed.filter("not member").select("line", "docs", F.when(F.col("takes"), F.col("group")).otherwise(F.md5(F.concat_ws(" ", "group", F.col("side").cast("string")))).alias("next"))
+        enough = left.groupBy("next").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("next")
+        left = left.join(enough, "next", "left_semi").select("line", F.col("next").alias("group"))
+        tokens = stored(tokens.drop("group").join(left, "line").select("group", "line", "docs", "at", "token"), "tokens")
+        rounds += 1
+    member = found[0]
+    for more in found[1:]:
+        member = member.unionByName(more)
+    return stored(member, "members") if rounds > 1 else member
+
+
 def recurring_lines(docs: DataFrame, text: str, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
     """(__key, place) of the lines to drop; docs must have __key."""
     lines = stored(_lines(docs, text, depth).drop("masked"), "lines")
@@ -45,18 +80,13 @@ def recurring_lines(docs: DataFrame, text: str, depth: int = DEPTH, similarity:
     leaves = by_line.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).filter((F.col("lines") > 1) & (F.col("docs") >= min_docs)).select("leaf")
     held = by_line.join(leaves, "leaf", "left_semi")
     texts = _lines(docs, text, depth).select("line", "leaf", "masked").join(leaves, "leaf", "left_semi").groupBy("line", "leaf").agg(F.first("masked").alias("masked"))
-    tokens = stored(texts.join(held, ["line", "leaf"]).select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token")), "tokens")
-    votes = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes"))
-    template = votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "token"))["token"].alias("common"))
-    agreement = tokens.join(template, ["leaf", "at"]).groupBy("line").agg(F.avg((F.col("token") == F.col("common")).cast("int")).alias("share"))
-    member = stored(agreement.filter(F.col("share") >= similarity).select("line", F.lit(True).alias("member")), "members")
-
-    template_of = F.when(F.col("member"), F.concat(F.lit("leaf "), "leaf")).otherwise(F.col("line"))
-    placed = by_line.join(member, "line", "left").select("line", "leaf", "docs", template_of.alias("template"), "member")
-    alone = placed.filter("member is null").filter(F.col("docs") >= min_docs).select("line")
-    # Documents of a leaf's template are counted once, whichever of its lines they hold.
-    several = seen.join(member, "line", "left_semi").groupBy("leaf", "__key").agg(F.lit(1).alias("one")).groupBy("leaf").count().filter(F.col("count") >= min_docs)
-    together = placed.filter("member").join(several, "leaf", "left_semi").select("line")
+    tokens = texts.join(held, ["line", "leaf"]).select(F.col("leaf").alias("group"), "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    member = _members(stored(tokens, "tokens"), similarity, min_docs)
+
+    alone = by_line.join(member, "line", "left_anti").filter(F.col("docs") >= min_docs).select("line")
+    # Documents of a template are counted once, whichever of its lines they hold.
+    several = seen.join(member, "line").groupBy("template", "__key").agg(F.lit(1).alias("one")).groupBy("template").count().filter(F.col("count") >= min_docs)
+    together = member.join(several, "template", "left_semi").select("line")
     return lines.join(alone.unionByName(together), "line", "left_semi").select("__key", "place")
 
 

@@ -140,6 +140,21 @@ def test_line_templates_generalise_words(spark):
     assert all(got[i] == 1 for i in range(10)) and got[99] == 0
 
 
+def test_line_templates_several_in_a_leaf(spark):
+    rows = [(i, f"please share this page with {chr(97 + i)}x today or later") for i in range(20)]
+    rows += [(100 + i, f"please share this offer from {chr(97 + i)}y before next sunday") for i in range(18)]
+    rows += [(200, "please share this box of nothing at all else")]
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(frame(spark, rows), min_docs=10).collect()}
+    assert all(n == int(i != 200) for i, n in got.items())
+
+
+def test_line_templates_equally_common_in_a_leaf(spark):
+    kinds = ["we are not {} by any of these means", "we are not over {} in a quiet manner", "we are not what {} hoped from her sister", "we are not to follow {} without good cause"]
+    rows = [(100 * k + i, kind.format(chr(97 + i) + "z")) for k, kind in enumerate(kinds) for i in range(12)]
+    got = line_templates.drop_recurring_lines(frame(spark, rows), min_docs=10).collect()
+    assert [r.n_dropped for r in got] == [1] * len(rows)
+
+
 # ---- 1 -----------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
