@@ -31,6 +31,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Runs of tokens with a digit or an @, one white space between them.
 RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\s[^\s0-9@]*+[0-9@]\S*+)*+"
 CONTEXT = 48
+#: What \s stands for in Java's patterns.
+WHITE = " \t\n\x0b\f\r"
 #: Matches whose places are summed up together: the work of a text with n matches is n * BLOCK at most.
 BLOCK = 512
 SPANS = "array<struct<start:int,end:int,found:string>>"
@@ -104,25 +106,27 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 def instances(keyed: DataFrame, text: str = "text") -> DataFrame:
     """Identifier-like runs: __row, start, end, found, left and right word, and the kinds they seed.
 
-    The words are looked for within CONTEXT characters of the run: a window, not a cut of the text.
+    The words are the nearest ones between the run and its neighbours, however wide the space; of
+    a longer word the CONTEXT characters nearest to the run stand for it.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     gaps = F.split(t, RUN, -1)
     runs = keyed.select("__row", gaps.alias("gaps"), F.posexplode(_spans(t, RUN)).alias("k", "run")).select(
         "__row",
         "run.*",
-        F.regexp_extract(F.right(F.get("gaps", F.col("k")), F.lit(CONTEXT)), r"(\S+)\s*$", 1).alias("left"),
-        F.regexp_extract(F.left(F.get("gaps", F.col("k") + 1), F.lit(CONTEXT)), r"^\s*(\S+)", 1).alias("right"),
+        F.regexp_extract(F.right(F.rtrim(F.get("gaps", F.col("k")), F.lit(WHITE)), F.lit(CONTEXT)), r"(\S+)$", 1).alias("left"),
+        F.regexp_extract(F.left(F.ltrim(F.get("gaps", F.col("k") + 1), F.lit(WHITE)), F.lit(CONTEXT)), r"^(\S+)", 1).alias("right"),
     )
     seeds = F.array_compact(F.array(*[F.when(F.size(base_spans(F.col("found"), k)) > 0, F.lit(k)) for k in KINDS]))
     return runs.withColumn("seeds", seeds)
 
 
 def _patterns(runs: DataFrame) -> DataFrame:
-    """Edges before counting: each run under its left word, its right word and both, by kind of seed."""
+    """Edges before counting: each run under its left word, its right word and both, as far as it has them."""
     left, right = F.lower("left"), F.lower("right")
-    names = F.array(F.concat(F.lit("l "), left), F.concat(F.lit("r "), right), F.concat_ws(" ", F.lit("b"), left, right))
-    return runs.filter("left != '' and right != ''").withColumn("pattern", F.explode(names))
+    before, after = F.col("left") != "", F.col("right") != ""
+    names = F.array(F.when(before, F.concat(F.lit("l "), left)), F.when(after, F.concat(F.lit("r "), right)), F.when(before & after, F.concat_ws(" ", F.lit("b"), left, right)))
+    return runs.withColumn("pattern", F.explode(F.array_compact(names)))
 
 
 def discovered(keyed: DataFrame, text: str = "text", rounds: int = 2, least: int = 5, trust: float = 0.9) -> DataFrame:

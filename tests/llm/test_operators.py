@@ -194,6 +194,18 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.extract(frame(spark, [])).count() == 0
 
 
+def test_bootstrap_needs_words_on_one_side_only(spark):
+    wide = " " * 60
+    rows = [(i, f"text {'xyz'[i % 3]} contact: user{i}@mail.example.com please") for i in range(40)]
+    rows += [(100, "text contact: hidden7@intranet"), (101, "hidden8@intranet please"), (102, f"text contact:{wide}hidden9@intranet")]
+    got = {r.doc_id: r for r in pii.extract(frame(spark, rows)).collect()}
+    added = {i: [r.text[s.start : s.end] for s in r.spans if s not in r.base] for i, r in got.items()}
+    assert [added.pop(i) for i in (100, 101, 102)] == [["hidden7@intranet"], ["hidden8@intranet"], ["hidden9@intranet"]] and not any(added.values())
+    ends = [(i, f"reach us under user{i}@mail.example.com") for i in range(40)] + [(100, "reach us under hidden7@intranet")]
+    got = {r.doc_id: [s for s in r.spans if s not in r.base] for r in pii.extract(frame(spark, ends)).collect()}
+    assert [(s.start, s.end) for s in got[100]] == [(15, 31)]
+
+
 # ---- 4 -----------------------------------------------------------------------------------------
 
 
