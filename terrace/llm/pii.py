@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction (native).
 
 Base patterns find emails, ip addresses, card and phone numbers. They seed the bootstrap: every
-identifier-like run of tokens (with a digit or an @) is an instance, the words around it are its
-lexical patterns. Two rounds score the graph of patterns and instances: a pattern is as good as the
+identifier-like run of tokens (with a digit or an @) is an instance, without the punctuation that
+encloses it, the words around it are its lexical patterns; a run that is no identifier as a whole is
+parted into those it lists. Two rounds score the graph of patterns and instances: a pattern is as good as the
 trusted share of what it extracts, an instance is trusted if it is a seed or good patterns agree on
 it. Runs that good patterns extract, that look like their kind and overlap no base span, are added.
 
@@ -12,7 +13,7 @@ before a third of all numbers is as cheap as any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import read, stored
@@ -43,6 +44,9 @@ FORM = {
     "card": r"^(?:[0-9Xx*][ .-]?){11,18}[0-9Xx*]$",
     "phone": r"^[+(]?[0-9](?:[ ()./-]*[0-9]){8,14}$",
 }
+#: Punctuation that may enclose an identifier, but for round brackets, and what parts a list (not an area code's bracket).
+ENCLOSING = "\"'`<>[]{}|*,;:.!?…«»“”„‘’‹›"
+PARTED_AFTER, PARTED_BEFORE = "(?:[\"'`>\\]}|,;:.!?…»”’›]|(?<!^\\([0-9]{1,9})\\))$", "^[\"'`<\\[{|«“„‘‹]"
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -103,8 +107,73 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({kind: base_spans(F.col(text), kind) for kind in KINDS})
 
 
+def _formed(found: Column) -> Column:
+    return found.rlike("|".join(f"(?:{form})" for form in FORM.values()))
+
+
+def _core(piece: Column) -> Column:
+    """struct<start, end, found> of a piece (the same) without enclosing punctuation. A round bracket
+    goes if it has no partner in the piece, or if the pair encloses the whole."""
+
+    def bare(p: Column) -> Column:
+        tail = F.ltrim(p["found"], F.lit(ENCLOSING))
+        begin = p["start"] + F.length(p["found"]) - F.length(tail)
+        found = F.rtrim(tail, F.lit(ENCLOSING))
+        return F.struct(begin.alias("start"), (begin + F.length(found)).alias("end"), found.alias("found"))
+
+    def unbracketed(p: Column) -> Column:
+        found, n = p["found"], F.length(p["found"])
+        more = F.length(F.replace(found, F.lit(")"), F.lit(""))) - F.length(F.replace(found, F.lit("("), F.lit("")))
+        whole = found.rlike(r"^\([^()]*\)$")
+        first = (F.startswith(found, F.lit("(")) & ((more > 0) | whole)).cast("int")
+        last = (F.endswith(found, F.lit(")")) & ((more < 0) | whole)).cast("int")
+        return F.struct((p["start"] + first).alias("start"), (p["end"] - last).alias("end"), F.substring(found, first + 1, n - first - last).alias("found"))
+
+    out = F.array(bare(piece))
+    for step in (unbracketed, bare, unbracketed, bare):
+        out = F.transform(out, step)
+    return F.get(out, F.lit(0))
+
+
+def _listed(runs: DataFrame) -> DataFrame:
+    """run and core of the identifiers that runs list: those that hold a base span or are none as a whole.
+
+    Tokens that overlap a base span are left out. Stretches of the others, ending at base spans and
+    at punctuation, are offered whole if they have a form, else the tokens that have one.
+    """
+    several = runs.filter(F.col("found").rlike(r"\s") & ((F.size("seeds") > 0) | ~_formed(F.col("core.found"))))
+    tokens = several.select("run", "start", "bases", F.posexplode(_spans(F.col("found"), r"\S++")).alias("at", "t"))
+    clear = ~F.exists("bases", lambda b: (b["start"] < F.col("t")["end"]) & (F.col("t")["start"] < b["end"]))
+    tokens = tokens.select("run", "at", "start", "t", clear.alias("clear"))
+    order = Window.partitionBy("run").orderBy("at")
+    ends = ~F.col("clear") | F.col("t.found").rlike(PARTED_AFTER)
+    begins = F.coalesce(F.lag(ends).over(order), F.lit(False)) | F.col("t.found").rlike(PARTED_BEFORE)
+    numbered = tokens.withColumn("begins", begins.cast("int")).withColumn("stretch", F.sum("begins").over(order)).filter("clear")
+    token = F.struct((F.col("start") + F.col("t.start")).alias("start"), (F.col("start") + F.col("t.end")).alias("end"), F.col("t.found").alias("found"))
+    stretches = numbered.groupBy("run", "stretch").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    first, last = F.get("tokens", F.lit(0))["start"], F.element_at("tokens", -1)["end"]
+    # One white space stands between the tokens of a run.
+    whole = _core(F.struct(first.alias("start"), last.alias("end"), F.array_join(F.col("tokens.found"), " ").alias("found")))
+    parts = F.filter(F.transform("tokens", _core), lambda p: _formed(p["found"]))
+    return stretches.withColumn("whole", whole).select("run", F.explode(F.when(_formed(F.col("whole.found")), F.array("whole")).otherwise(parts)).alias("core"))
+
+
+def candidates(runs: DataFrame) -> DataFrame:
+    """Instances of the runs: __row, start, end, found, left, right, seeds and weight, their share in
+    their run's one vote. Identifiers that a run lists stand between the words around the run; they
+    share its vote, or have none where the run holds a seed."""
+    listed = stored(_listed(runs), "listed")
+    parts = listed.groupBy("run").agg(F.count("*").alias("parts"))
+    whole = runs.join(parts, "run", "left").withColumn("weight", F.when(F.col("parts").isNull() | (F.size("seeds") > 0), 1.0).otherwise(0.0)).filter("weight > 0")
+    told = runs.join(parts, "run").select("run", "__row", "left", "right", F.when(F.size("seeds") > 0, 0.0).otherwise(1 / F.col("parts")).alias("weight"))
+    pieces = listed.join(told, "run").withColumn("seeds", F.array().cast("array<string>"))
+    columns = ["__row", "core.start", "core.end", "core.found", "left", "right", "seeds", "weight"]
+    return whole.select(*columns).unionByName(pieces.select(*columns))
+
+
 def instances(keyed: DataFrame, text: str = "text") -> DataFrame:
-    """Identifier-like runs: __row, start, end, found, left and right word, and the kinds they seed.
+    """Identifier-like runs: their number, __row, start, end, found, left and right word, the kinds they
+    seed, the base spans in them, and core, their span and text without enclosing punctuation.
 
     The words are the nearest ones between the run and its neighbours, however wide the space; of
     a longer word the CONTEXT characters nearest to the run stand for it.
@@ -117,8 +186,11 @@ def instances(keyed: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_extract(F.right(F.rtrim(F.get("gaps", F.col("k")), F.lit(WHITE)), F.lit(CONTEXT)), r"(\S+)$", 1).alias("left"),
         F.regexp_extract(F.left(F.ltrim(F.get("gaps", F.col("k") + 1), F.lit(WHITE)), F.lit(CONTEXT)), r"^(\S+)", 1).alias("right"),
     )
-    seeds = F.array_compact(F.array(*[F.when(F.size(base_spans(F.col("found"), k)) > 0, F.lit(k)) for k in KINDS]))
-    return runs.withColumn("seeds", seeds)
+    spans = runs.withColumns({f"__{k}": base_spans(F.col("found"), k) for k in KINDS})
+    seeds = F.array_compact(F.array(*[F.when(F.size(f"__{k}") > 0, F.lit(k)) for k in KINDS]))
+    bases = F.transform(F.concat(*[f"__{k}" for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    core = _core(F.struct("start", "end", "found"))
+    return spans.select(F.monotonically_increasing_id().alias("run"), *runs.columns, seeds.alias("seeds"), bases.alias("bases"), core.alias("core"))
 
 
 def _patterns(runs: DataFrame) -> DataFrame:
@@ -136,8 +208,8 @@ def discovered(keyed: DataFrame, text: str = "text", rounds: int = 2, least: int
     the trusted share of its runs reaches `trust`; a run is found if the patterns around it reach
     that together (1 - the product of their misses) and it has the kind's form.
     """
-    runs = stored(instances(keyed, text), "runs")
-    edges = _patterns(runs).groupBy("pattern", F.md5(F.lower("found")).alias("instance")).agg(F.count("*").alias("n"), F.first("seeds").alias("seeds"), F.first("found").alias("found"))
+    runs = stored(candidates(stored(instances(keyed, text), "runs")), "candidates")
+    edges = _patterns(runs).groupBy("pattern", F.md5(F.lower("found")).alias("instance")).agg(F.sum("weight").alias("n"), F.max("seeds").alias("seeds"), F.max("found").alias("found"))
     edges = stored(edges, "edges")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_contains("seeds", k).alias("seed"), F.col("found").rlike(FORM[k]).alias("form")) for k in KINDS])
     graph = edges.select("pattern", "instance", "n", F.explode(kinds).alias("k")).select("pattern", "instance", "n", "k.*")
@@ -145,7 +217,7 @@ def discovered(keyed: DataFrame, text: str = "text", rounds: int = 2, least: int
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("all_runs"))
     good = confidence = None
     for _ in range(rounds):
-        hits = graph.join(trusted, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("n").alias("hit"), F.count("*").alias("support")).filter(F.col("support") >= least)
+        hits = graph.join(trusted, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("n").alias("hit"), F.count_if(F.col("n") > 0).alias("support")).filter(F.col("support") >= least)
         good = stored(hits.join(totals, "pattern").withColumn("share", F.col("hit") / F.col("all_runs")).filter(F.col("share") >= trust).select("pattern", "kind", "share"), "patterns")
         reach = graph.filter("form and not seed").join(good, ["pattern", "kind"])
         confidence = stored(reach.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("share", F.lit(0.999999)))))).alias("confidence")).filter(F.col("confidence") >= trust), "instances")

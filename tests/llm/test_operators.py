@@ -206,6 +206,23 @@ def test_bootstrap_needs_words_on_one_side_only(spark):
     assert [(s.start, s.end) for s in got[100]] == [(15, 31)]
 
 
+def test_bootstrap_strips_punctuation_and_parts_lists(spark):
+    rows = [(i, f"text {'xyz'[i % 3]} contact: user{i}@mail.example.com please") for i in range(40)]
+    rows += [(100 + i, f"text {'xyz'[i % 3]} dial +1 656 555 {6510 + i} today") for i in range(40)]
+    odd = {
+        200: ("contact: hidden7@intranet.", ["hidden7@intranet"]),
+        201: ("contact: <hidden7@intranet>, please", ["hidden7@intranet"]),
+        202: ("contact: someone@mail.example.com, hidden8@intranet, hidden9@intranet please", ["hidden8@intranet", "hidden9@intranet"]),
+        203: ("contact: hidden8@intranet hidden9@intranet please", ["hidden8@intranet", "hidden9@intranet"]),
+        204: ("dial (555) 123-4567. today", ["(555) 123-4567"]),
+        205: ("dial (555-123-4567), (555) 123-4568; 555 123 4569! today", ["555-123-4567", "(555) 123-4568", "555 123 4569"]),
+        206: ("dial 7 today", []),
+    }
+    got = {r.doc_id: r for r in pii.extract(frame(spark, rows + [(i, t) for i, (t, _) in odd.items()])).collect()}
+    added = {i: [r.text[s.start : s.end] for s in r.spans if s not in r.base] for i, r in got.items()}
+    assert {i: added.pop(i) for i in odd} == {i: found for i, (_, found) in odd.items()} and not any(added.values())
+
+
 # ---- 4 -----------------------------------------------------------------------------------------
 
 
