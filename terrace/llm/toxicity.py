@@ -2,8 +2,8 @@
 
 Features are the n-grams of code points (LENGTHS) that occur in a text, hashed to 2**BITS places.
 Each is scaled by its log-count ratio between toxic and other training texts, and a logistic
-regression learns one weight for each scaled feature. Training runs in numpy on the driver over a
-bounded sample of labelled texts; the finished table of weight times ratio scores whole texts.
+regression learns one weight for each scaled feature. Training runs in numpy on the driver over the
+features of a bounded sample of labelled texts, found on the executors; the finished table of weight times ratio scores whole texts.
 """
 
 from __future__ import annotations
@@ -71,18 +71,33 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(places).astype(np.int64)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 50_000) -> list[tuple[int, str]]:
-    """(toxic, text) of about per_class labelled documents of either class, chosen by a hash of the
-    id. most_chars bounds what one training text may bring to the driver."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> list[tuple[int, np.ndarray]]:
+    """(toxic, places of the whole text's n-grams, each once, in order) of about per_class labelled
+    documents of either class, chosen by a hash of the id. A text of any length brings at most
+    2**BITS places to the driver."""
     known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
     share = {r["__toxic"]: min(1.0, per_class / r["n"]) for r in known.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     limit = F.when(F.col("__toxic") == 1, int(share.get(1, 0) * (1 << 30))).otherwise(int(share.get(0, 0) * (1 << 30)))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 30)) < limit).limit(4 * per_class)
-    got = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select("__toxic", F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("t"))
-    return sorted((r[0], r[1]) for r in got.toLocalIterator())
+    got = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select("__toxic", F.coalesce("text", F.lit("")).alias("t"))
+    ship_code(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                places = [_distinct(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(places, pa.binary())], names=["toxic", "places"])
+
+    rows = sorted((r[0], bytes(r[1])) for r in got.mapInArrow(run, "toxic int, places binary").toLocalIterator())
+    return [(toxic, np.frombuffer(places, "<i4")) for toxic, places in rows]
+
+
+def _distinct(text: str) -> np.ndarray:
+    return np.unique(_grams([text])[1])
 
 
-def train(labelled: list[tuple[int, str]], features: int = 1 << 15, rounds: int = 200, alpha: float = 1.0, l2: float = 1e-3) -> Scorer:
+def train(labelled: list[tuple[int, np.ndarray]], features: int = 1 << 15, rounds: int = 200, alpha: float = 1.0, l2: float = 1e-3) -> Scorer:
     """Fits the classifier; classes weigh alike. Of the hashed n-grams that at least three texts
     have, the `features` with the strongest evidence are used. With one class, or none, the
     score is 1 - 1 / (n + 2) or the like: the smoothed share of label 1."""
@@ -91,13 +106,8 @@ def train(labelled: list[tuple[int, str]], features: int = 1 << 15, rounds: int
     if not len(y) or y.all() or not y.any():
         share = (y.sum() + 1) / (len(y) + 2)
         return Scorer(weights, float(np.log(share / (1 - share))))
-    rows, cols = [], []
-    for part in _parts([t for _, t in labelled]):
-        owner, places = _grams([labelled[i][1] for i in part])
-        once = np.unique(owner.astype(np.int64) << BITS | places)
-        rows.append((once >> BITS) + part[0])
-        cols.append(once & ((1 << BITS) - 1))
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    rows = np.repeat(np.arange(len(labelled)), [len(places) for _, places in labelled])
+    cols = np.concatenate([places for _, places in labelled], dtype=np.int64)
     positive = np.bincount(cols[y[rows]], minlength=1 << BITS)
     total = np.bincount(cols, minlength=1 << BITS)
     p, q = positive / y.sum(), (total - positive) / (~y).sum()

@@ -393,3 +393,14 @@ def test_toxicity(spark):
     assert sum(got[i].predicted == int(i % 5 == 0) for i in held) >= 97
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1002].score > 0.5 > got[1001].score == got[1000].score
     assert toxicity.predict(docs, toxicity.train([])).filter("score = 0.5").count() == 403
+
+
+def test_toxicity_trains_on_whole_texts(spark):
+    calm = "river stone house morning " * 2_500
+    rows = [(i, calm + ("scumbag moron" if i % 2 else "willow meadow")) for i in range(40)]
+    docs = frame(spark, rows)
+    labels = frame(spark, [(i, 1, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    scorer = toxicity.train(toxicity.sample(docs, labels))
+    held = frame(spark, [(100, "a scumbag moron"), (101, "a willow meadow")])
+    got = {r.doc_id: r.score for r in toxicity.predict(held, scorer).collect()}
+    assert got[100] > 0.7 > 0.3 > got[101]
