@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import ascii_lower, read
+from terrace.llm.shared import ascii_lower, read, stored
 
 #: (action, host, path)
 Rule = tuple[str, str, str]
@@ -102,35 +102,36 @@ def _with_suffix(df: DataFrame, model: Model) -> DataFrame:
 def train(labelled: DataFrame, url: str = "url", label: str = "label", most: int = 10_000, suffixes: int = 256, **growth) -> Model:
     """Learns from labelled urls (label 1: block, 0: allow; others are left out).
 
-    About `most` rows of either class are used, chosen by a hash of the url: the bound on what the
-    driver sees. Suffix statistics keep the `suffixes` commonest last labels of the sample. With one
+    About `most` different urls of either class are used, chosen by a hash of the url: the bound on what
+    the driver sees. A url of n rows weighs 1 + log(n), so that none is hot. Suffix statistics keep the `suffixes` commonest last labels of the sample. With one
     class only, that class is the verdict; without labels all is allowed.
     """
     known = labelled.filter(F.col(label).isin(0, 1) & F.col(url).isNotNull())
-    share = {r[0]: min(1.0, most / r[1]) for r in known.groupBy(label).count().collect()}
+    known = stored(known.groupBy(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).agg((1 + F.log(F.count("*"))).alias("w")), "urls")
+    share = {r[0]: min(1.0, most / r[1]) for r in known.groupBy("y").count().collect()}
     if len(share) < 2:
         return Model(start=1.0 if 1 in share else -1.0)
-    limit = F.when(F.col(label) == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
-    rows = lexical(known.filter(F.pmod(F.xxhash64(url), F.lit(1 << 30)) < limit).select(url, label), url)
-    rows = rows.select(F.col(label).alias("y"), "suffix", *[c for c in rows.columns if c.startswith("f_")]).limit(4 * most).collect()
+    limit = F.when(F.col("y") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
+    rows = lexical(known.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < limit))
+    rows = rows.select("y", "w", "suffix", *[c for c in rows.columns if c.startswith("f_")]).limit(4 * most).collect()
     rows.sort()
-    y = np.array([r["y"] for r in rows], float)
+    y, w = np.array([r["y"] for r in rows], float), np.array([r["w"] for r in rows], float)
     if not len(y) or y.all() or not y.any():
         return Model(start=1.0 if len(y) and y.all() else -1.0)
-    prior, seen = float(y.mean()), {}
+    prior, seen = float(np.average(y, weights=w)), {}
     for r in rows:
         blocked, n = seen.get(r["suffix"], (0, 0))
-        seen[r["suffix"]] = (blocked + r["y"], n + 1)
+        seen[r["suffix"]] = (blocked + r["w"] * r["y"], n + r["w"])
     common = sorted(seen, key=lambda k: (-seen[k][1], k))[:suffixes]
     rates = {k: ((seen[k][0] + 10 * prior) / (seen[k][1] + 10), math.log1p(seen[k][1])) for k in common}
     names = [c for c in rows[0].asDict() if c.startswith("f_")] + ["f_suffix_rate", "f_suffix_count"]
-    x = np.array([[*r[2:], *rates.get(r["suffix"], (prior, 0.0))] for r in rows], float)
+    x = np.array([[*r[3:], *rates.get(r["suffix"], (prior, 0.0))] for r in rows], float)
     start = math.log(prior / (1 - prior))
-    return Model(rates, prior, boosted(x, y, names, start, **growth), start)
+    return Model(rates, prior, boosted(x, y, w, names, start, **growth), start)
 
 
-def boosted(x: np.ndarray, y: np.ndarray, names: list[str], start: float, trees: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 32, least: float = 5.0) -> list[str]:
-    """Trees by second-order boosting of the logistic loss on binned features, as SQL."""
+def boosted(x: np.ndarray, y: np.ndarray, w: np.ndarray, names: list[str], start: float, trees: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 32, least: float = 5.0) -> list[str]:
+    """Trees by second-order boosting of the weighted logistic loss on binned features, as SQL."""
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
     binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)], axis=1)
     margin, out = np.full(len(y), start), []
@@ -160,7 +161,7 @@ def boosted(x: np.ndarray, y: np.ndarray, names: list[str], start: float, trees:
 
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        tree, values = grow(np.arange(len(y)), depth, p - y, p * (1 - p))
+        tree, values = grow(np.arange(len(y)), depth, w * (p - y), w * p * (1 - p))
         margin += values
         out.append(tree)
     return out

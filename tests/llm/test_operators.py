@@ -120,6 +120,19 @@ def test_url_trees_learn(spark):
     assert url_filter.train(labelled.limit(0)).trees == [] and url_filter.train(labelled.filter("label = 1")).start > 0
 
 
+def test_url_trees_learn_beside_a_hot_url(spark):
+    # The hot url's hash is below its class's limit, so its copies come first and in full.
+    at = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / (1 << 30)
+    tried = frame(spark, [(f"http://hot{i}.bad/1/p",) for i in range(2_000)], "url string")
+    hot = tried.orderBy(at).first().url
+    rows = [(hot, 1)] * 2_000 + [(f"http://h{i}.{'bad' if i % 2 else 'good'}/{'1' * (i % 5)}/p", i % 2) for i in range(400)]
+    model = url_filter.train(frame(spark, rows, "url string, label int").coalesce(1), most=100)
+    assert model.trees
+    pages = frame(spark, [(i, f"http://new{i}.{'bad' if i % 2 else 'good'}/1/p") for i in range(40)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, model, rules=[]).collect()}
+    assert all((got[i] == "block") == (i % 2 == 1) for i in range(40))
+
+
 # ---- 6 -----------------------------------------------------------------------------------------
 
 
