@@ -193,8 +193,12 @@ def trained_on(docs: DataFrame, per_lang: int = 1500) -> ByteNet:
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """docs without those of undetermined language; same columns, whatever their names."""
-    judged = predict(docs.select(F.struct(*docs.columns).alias("__row"), "text"), trained_on(docs))
+    """docs without those of undetermined language; same columns, whatever their names. Where no
+    language could be learned, those without a letter are the undetermined ones."""
+    net = trained_on(docs)
+    if not net.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = predict(docs.select(F.struct(*docs.columns).alias("__row"), "text"), net)
     return judged.filter(F.col("lang_pred") != UNDETERMINED).select("__row.*")
 
 

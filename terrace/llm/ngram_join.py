@@ -58,7 +58,7 @@ def gram_sets(tokens: np.ndarray, lens: np.ndarray, hashes: np.ndarray, n: int =
     odd = _ODD[np.arange(n) % len(_ODD)] + np.uint64(2) * np.arange(n, dtype=np.uint64)
     h = np.zeros(len(tokens), np.uint64)
     for j in range(n):
-        h[: len(h) - j] += words[j:] * odd[j]
+        h[: max(0, len(h) - j)] += words[j:] * odd[j]
     short = np.flatnonzero((lens > 0) & (lens < n))
     whole = place + n <= lens[owner]
     grams, owners = h[whole], owner[whole]
@@ -303,16 +303,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = texts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
     named = stored(named.filter("n > 1 or label is not null"), "texts")
     smallest = named.filter("label is not null").groupBy("label").agg(F.min("least").alias("of_all"))
-    ends = stored(named.join(smallest, "label", "left").select("digest", F.coalesce("of_all", "least").alias("end"), "links"), "ends")
-    return members.join(ends, "digest", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("end", "doc_id").alias("component_id"))
+    ends = stored(named.join(smallest, "label", "left").select("digest", F.coalesce("of_all", "least").alias("end"), "links", F.coalesce("label", "digest").alias("component")), "ends")
+    return members.join(ends, "digest", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("end", "doc_id").alias("component_id"), "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, that with the smallest id; same
-    columns. Rows are told apart by a hash of id and text; null ids stay."""
+    """docs with one document of each group of near duplicates, that with the smallest id, nulls last;
+    same columns. Rows are told apart by a hash of id and text: rows equal in both share their fate."""
     key = F.xxhash64("doc_id", "text")
     found = near_duplicates(docs.select("doc_id", "text", key.alias("__key")), row_key="__key")
-    gone = found.filter("doc_id != component_id").select(F.col("row_key").alias("__gone")).distinct()
+    grouped = stored(found.filter("component is not null").select("doc_id", "row_key", "component"), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"]
+    keep = grouped.groupBy("component").agg(first.alias("row_key")).select("row_key")
+    gone = grouped.join(keep, "row_key", "left_anti").select(F.col("row_key").alias("__gone")).distinct()
     return docs.join(gone, key == F.col("__gone"), "left_anti")
 
 

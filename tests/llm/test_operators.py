@@ -316,6 +316,22 @@ def test_blocks_agree_with_sets(monkeypatch, spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+def test_near_duplicates_without_ids_or_with_one(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    rows = [(None, text + " a"), (None, text + " b"), (None, other + " a"), (None, other + " b"), (None, "")]
+    rows += [(7, text.upper().replace("W", "x") + c) for c in (" a", " b", " c")]
+    left = sorted(str(r.text)[:2] for r in ngram_join.drop_near_duplicates(frame(spark, rows)).collect())
+    assert left == ["", "v0", "w0", "x0"]
+    assert ngram_join.near_duplicates(frame(spark, [(1, "a b")]).coalesce(1)).first().n_shingles == 1
+
+
+def test_unknown_languages_keep_texts_with_letters(spark):
+    rows = [(1, "some text", None), (2, "12 !?", None), (3, None, None), (4, "漢字", None)]
+    kept = language.keep_known_languages(frame(spark, rows, "doc_id bigint, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
 # ---- 8 -----------------------------------------------------------------------------------------
 
 
