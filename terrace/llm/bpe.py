@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import base64
 import functools
-import gc
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -25,12 +25,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import read, ship_code
+from terrace.llm.shared import give_back, read, ship_code
 
-#: Pieces whose encoding a worker remembers; beyond it the memory starts anew, results stay.
-CACHE_PIECES = 500_000
-CACHE_SEAMS = 1_000_000
-SLICE_ROWS = 256
+#: Bytes, about, of the encodings that a worker remembers, and seams it remembers; beyond either that
+#: memory starts anew, results stay.
+CACHE_BYTES = 64 << 20
+CACHE_SEAMS = 200_000
+SLICE_ROWS = 128
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -143,20 +144,47 @@ def read_back(last: list[int], start: list[int]) -> tuple[int, ...]:
 
 
 class Memory(dict):
-    """Encodings of pieces seen lately; a new piece is encoded by its prefix table."""
+    """Encodings of chunks seen lately. A new chunk is cut into the pattern's pieces, each encoded by its
+    prefix table."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.encode_piece = vocabulary.encode_piece
+    def __init__(self, find: Callable[[str], list[str]], encode_piece: Callable[[bytes], tuple[int, ...]], before: str) -> None:
+        self.find, self.encode_piece, self.before, self.held = find, encode_piece, before, 0
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        got = self.encode_piece(piece.encode())
-        if len(piece) <= 64:
-            if len(self) >= CACHE_PIECES:
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        got = tuple(chain.from_iterable(self.encode_piece(piece.encode()) for piece in self.find(self.before + chunk)))
+        if len(chunk) <= 256:
+            self.held += 200 + len(chunk) * (1 if chunk.isascii() else 4) + 8 * len(got)
+            if self.held > CACHE_BYTES:
                 self.clear()
-            self[piece] = got
+                self.held = 0
+            self[chunk] = got
         return got
 
 
+#: A space at which a chunk may begin: none stands before it, of any kind of white space.
+_SPACE, _ODD = re.compile(r"(?<!\s) "), re.compile(r"\s ")
+
+
+class Encoder:
+    """Encodes whole texts. With `apart`, texts are first cut into chunks before every space that no white
+    space precedes; that is right for patterns whose pieces hold a space at their beginning only, or
+    behind other white space, and that look at nothing before a piece. A chunk's pieces are then those
+    it has in the text, and the chunk's encoding can be remembered as a whole."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, apart: bool) -> None:
+        find = regex.compile(pattern).findall
+        self.first, self.later, self.apart = Memory(find, vocabulary.encode_piece, ""), Memory(find, vocabulary.encode_piece, " "), apart
+        self.find, self.pieces = find, Memory(lambda piece: [piece], vocabulary.encode_piece, "")
+
+    def packed(self, text: str) -> bytes:
+        if not self.apart:
+            ids = map(self.pieces.__getitem__, self.find(text))
+        else:
+            chunks = _SPACE.split(text) if _ODD.search(text) else text.split(" ")
+            ids = chain((self.first[chunks[0]],), map(self.later.__getitem__, chunks[1:]))
+        return np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+
+
 class Encoded:
     """A text with the encoding of its pieces, open to exact appends and edits."""
 
@@ -189,11 +217,25 @@ class Encoded:
         self.text, self.pieces = text, keep
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _vocabulary(data: bytes) -> Vocabulary:
     return Vocabulary(load_ranks(data))
 
 
+@functools.lru_cache(maxsize=1)
+def _tokens(data: bytes) -> list[bytes | None]:
+    """Bytes by id: all that decoding needs."""
+    ranks = load_ranks(data)
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return table
+
+
+def _decoded(table: list[bytes | None], ids: bytes | None) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def _shipped(spark: SparkSession, path: str) -> Broadcast:
     """The rank file's bytes on every executor; their number is that of the vocabulary's tokens."""
     ship_code(spark)
@@ -201,56 +243,72 @@ def _shipped(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def _added(docs: DataFrame, columns: tuple[str, ...], made: Callable[[], Callable[[pa.RecordBatch], list[list[bytes]]]]) -> DataFrame:
+    """docs with binary columns behind the others; made gives, on the executor, what makes them of a batch."""
+    schema = docs.select("*", *[F.lit(b"").alias(c) for c in columns]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = made()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.binary()) for c in make(batch)]], names=[*batch.schema.names, *columns])
+        give_back()
+
+    return docs.mapInArrow(run, schema)
+
+
+def _values(batch: pa.RecordBatch, column: str) -> list:
+    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", apart: bool = False, decoded: str | None = None) -> DataFrame:
     """Adds `out`: the ids of the whole text as little-endian unsigned 32-bit integers, packed.
 
     Null counts as the empty text and gives no ids. All other columns stay; `out` takes the place
     of a column of that name. Special tokens are ordinary text. No row leaves its partition.
+    `apart` may be set for patterns as Encoder says. With `decoded`, a column of that name gets the
+    bytes that decoding the ids gives, in the same pass over the texts.
     """
-    kept = [c for c in docs.columns if c not in (text, out)]
-    spark = docs.sparkSession
-    ranks = _shipped(spark, path)
-    schema = docs.select(*kept, F.col(text), F.lit(b"").alias(out)).schema
+    added = (out, decoded) if decoded else (out,)
+    kept = [c for c in docs.columns if c not in (text, *added)]
+    ranks = _shipped(docs.sparkSession, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids_of = regex.compile(pattern).findall, Memory(_vocabulary(ranks.value)).__getitem__
-        gc.disable()  # nothing here makes cycles, and the memory is large
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                packed = [np.fromiter(chain.from_iterable(map(ids_of, find(t or ""))), "<u4").tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, out])
+    def made() -> Callable[[pa.RecordBatch], list[list[bytes]]]:
+        encoder = Encoder(_vocabulary(ranks.value), pattern, apart)
+        table = _tokens(ranks.value) if decoded else []
+
+        def make(batch: pa.RecordBatch) -> list[list[bytes]]:
+            ids = [encoder.packed(t or "") for t in _values(batch, text)]
+            return [ids, [_decoded(table, x) for x in ids]] if decoded else [ids]
 
-    return docs.select(*kept, F.col(text)).mapInArrow(run, schema)
+        return make
+
+    return _added(docs.select(*kept, F.col(text)), added, made)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds `out`: the bytes that the packed ids stand for. Null ids give no bytes."""
-    spark = encoded.sparkSession
-    ranks = _shipped(spark, path)
+    """Adds `out`: the bytes that the packed ids stand for. Null ids give no bytes. Other columns stay;
+    `out` takes the place of a column of that name."""
+    ranks = _shipped(encoded.sparkSession, path)
     kept = [c for c in encoded.columns if c != out]
-    schema = encoded.select(*kept, F.lit(b"").alias(out)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(ranks.value).token
-        table = [token.get(i) for i in range(max(token) + 1)]
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                texts = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
+    def made() -> Callable[[pa.RecordBatch], list[list[bytes]]]:
+        table = _tokens(ranks.value)
+        return lambda batch: [[_decoded(table, x) for x in _values(batch, ids)]]
 
-    return encoded.select(*kept).mapInArrow(run, schema)
+    return _added(encoded.select(*kept), (out,), made)
 
 
 def op8(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Per row of documents: doc_id, n_tokens and the digests of the ids and of what they decode to."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    decoded = decode(encoded.select("doc_id", "ids"), path)
-    return decoded.select(
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # The pattern's pieces hold a space at their beginning, or in a run of white space.
+    both = encode(docs, path, public_tokenizers.PATTERN, apart=True, decoded="decoded")
+    return both.select(
         "doc_id",
         F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

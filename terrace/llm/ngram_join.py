@@ -1,17 +1,25 @@
 """Near duplicates by an n-gram Jaccard join with vertical partitioning.
 
-A document is the set of its distinct word n-grams, put into one global order from rare to common
-and, among equals, by hash. Documents that could link share an n-gram among the rarest of either
-(the prefix that the similarity leaves); all that prefixes connect is one candidate group. Within
-a group, the global order is cut into vertical fragments, each fragment counts the partial overlaps
-of all pairs of a block of documents on its own, and the partial counts are summed up per pair.
-
-Pairs exist only inside a block's count matrix: what leaves a block is one row a document, its
-link count and a spanning edge. A group of any size is cut into blocks of BLOCK documents a side.
+A document is the set of its distinct word n-grams. They have one global order, from rare to common
+(by the power of two that their document frequency reaches) and then by hash: a gram's key is its
+place in it. The global order is cut into FRAGMENTS vertical fragments of equal weight.
+
+Candidates: documents that could link share an n-gram among the rarest of either (the prefix that
+the similarity leaves). Each document belongs to one cell, that of the commonest prefix gram it has
+and of its size; cells have at most about CELL documents, so a family of copies fills a few cells
+whole. Two cells are a candidate pair where a prefix gram is in both, and where the sizes and the
+grams left behind it allow a link (length and position filters).
+
+Join: a cell's grams are dealt out by fragment. For a pair of cells (or a cell alone) each fragment
+counts the partial overlaps of all their documents on its own, as a packed matrix; the matrices of
+a pair's fragments are then summed up and compared with the sizes. So pairs of documents exist only
+inside matrices, of which there are as many as pairs of cells; what leaves a sum is one row a
+document with its link count and a spanning edge.
 
 Document frequencies come from the exchange of packed keys between segments and buckets; keys are
 64-bit hashes of n-grams, for the frequencies shortened to 32 bits within a bucket (a clash there
-can only change the order, not a result). Equal texts are one class from the start.
+can only change the order, not a result), as keys to 58 bits beside the power of two. Equal texts
+are one class from the start.
 """
 
 from __future__ import annotations
@@ -22,23 +30,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm.exchange import batches, buckets_for, gathered, hashes_of, packed, spread, squeezed, unsqueezed
 from terrace.llm.lm_score import _schema
-from terrace.llm.shared import input_bytes, read, ship_code, stored
+from terrace.llm.shared import give_back, input_bytes, joined, read, ship_code, stored
 
-SEGMENT_BYTES, BLOCK, FRAGMENT = 6 << 20, 512, 4096
+SEGMENT_BYTES = 6 << 20
+#: Documents of a cell, grams of a cell (beyond one document), fragments, columns of a matrix at a
+#: time, and bytes of stored rows for each task that packs cells or sums up matrices.
+CELL, CELL_GRAMS, FRAGMENTS, WIDTH, TASK_BYTES = 1024, 1 << 19, 4, 2048, 4 << 20
 WORDS, PERCENT = 5, 75
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 SEGMENTS = "segment bigint, doc_ids array<bigint>, row_keys array<bigint>, digests array<binary>, sizes array<int>, active array<int>, lens array<int>, tokens binary, hashes binary"
 SENT = "bucket int, segment bigint, keys binary, counts binary"
 ANSWERS = "segment bigint, bucket int, counts binary"
-SETS = "digest binary, size int, prefix int, grams array<bigint>"
+SETS = "digest binary, size int, alone int, prefix int, grams array<bigint>"
+#: What a cell sends for a fragment: its documents, and their grams by document; or, with counts, a
+#: matrix of partial overlaps of the documents of left and right (only left: of its lower triangle).
+PACKED = "cell bigint, fragment int, digests binary, sizes binary, owners binary, grams binary, counts binary"
+PARTIAL = "i bigint, j bigint, left binary, left_sizes binary, right binary, right_sizes binary, counts binary"
 LINKS = "digest binary, root binary, links bigint"
+#: Bits of a gram's key that are its hash; the power of two of its frequency stands above them.
+HASH_BITS = 58
 
 
 def needed(size: int, percent: int = PERCENT) -> int:
@@ -158,23 +176,32 @@ def _candidate_sets(segments: DataFrame, answers: DataFrame, buckets: int, n: in
         owners, grams = _own_grams(r, n)
         keys, which = np.unique(grams, return_inverse=True)
         frequency = gathered(list(zip(counts["bucket"].to_pylist(), counts["counts"].to_pylist(), strict=True)), *spread(keys, buckets))[which]
-        order = np.lexsort((grams, frequency, owners))
-        grams, frequency = grams[order].view(np.int64), frequency[order]
+        shared = frequency > 1
+        key = gram_keys(grams, frequency)
+        order = np.lexsort((key, shared, owners))
+        key = key[order]
         sizes = np.bincount(owners, minlength=len(r["lens"]))
-        alone = np.bincount(owners[frequency <= 1], minlength=len(sizes)) if len(owners) else sizes
+        alone = np.bincount(owners[~shared], minlength=len(sizes)) if len(owners) else sizes
         first = np.cumsum(sizes) - sizes
         out = []
         for d in np.flatnonzero(sizes).tolist():
-            size = int(sizes[d])
-            prefix = size - needed(size, percent) + 1 - int(alone[d])
-            if prefix > 0 and alone[d] < size:
-                shared = grams[first[d] + alone[d] : first[d] + size]
-                out.append((r["digests"][r["active"][d]], size, min(prefix, len(shared)), shared))
-        return pa.Table.from_batches(batches(schema, iter(out)), schema=schema)
+            size, single = int(sizes[d]), int(alone[d])
+            prefix = size - needed(size, percent) + 1 - single
+            if prefix > 0 and single < size:
+                out.append((r["digests"][r["active"][d]], size, single, min(prefix, size - single), key[first[d] + single : first[d] + size]))
+        made = pa.Table.from_batches(batches(schema, iter(out)), schema=schema)
+        give_back()
+        return made
 
     return segments.drop("doc_ids", "row_keys", "sizes").groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(order_sets, SETS)
 
 
+def gram_keys(grams: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Places in the global order: the power of two of the frequency, then the hash."""
+    power = np.minimum(np.floor(np.log2(np.maximum(frequency, 1))), 31).astype(np.uint64)
+    return (power << np.uint64(HASH_BITS) | grams >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the smallest node that edges lead to.
 
@@ -193,84 +220,204 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_in_block(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT, fragment: int = FRAGMENT) -> np.ndarray:
-    """Which sets link: left by left (right is None) or left by right, as a boolean matrix.
-
-    The grams that both sides hold are cut into vertical fragments of the global order; each
-    fragment gives a matrix of partial overlaps, and the matrices are summed up.
-    """
-    sides = [left, left if right is None else right]
-    sizes = [np.array([s[0] for s in side]) for side in sides]
-    owner = [np.repeat(np.arange(len(side)), [len(s[1]) for s in side]) for side in sides]
-    grams = [np.concatenate([s[1] for s in side]) if side else np.zeros(0, np.int64) for side in sides]
-    common, held = np.unique(grams[0], return_counts=True)
-    common = common[held > 1] if right is None else np.intersect1d(common, grams[1])
-    overlap = np.zeros((len(left), len(sides[1])), np.float32)
-    column = []
-    for g in grams:
-        at = np.searchsorted(common, g)
-        column.append(np.where((at < len(common)) & (common[np.minimum(at, len(common) - 1)] == g), at, -1) if len(common) else np.full(len(g), -1))
-    for a in range(0, len(common), fragment):
-        width = min(fragment, len(common) - a)
+def _cells(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, cell) of the documents that share a prefix gram, and the candidate pairs (i, j) of
+    different cells, i below j."""
+    prefixes = sets.select("digest", "size", "alone", F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("at", "gram"))
+    common = prefixes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    postings = stored(prefixes.join(common, "gram").select("digest", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), "gram", "n"), "postings")
+
+    homes = postings.groupBy("digest").agg(F.max(F.struct("n", "gram")).alias("top"), F.max("size").alias("size"))
+    homes = homes.select("digest", "size", F.col("top.gram").alias("gram"), F.floor(F.log("size") / F.log(F.lit(100 / percent))).alias("kind")) if percent < 100 else homes.select("digest", "size", F.col("top.gram").alias("gram"), F.col("size").alias("kind"))
+    homes = stored(homes, "homes")
+    chunks = homes.groupBy("gram", "kind").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") / CELL_GRAMS)).alias("chunks"))
+    cell = F.xxhash64("gram", "kind", F.pmod(F.xxhash64("digest"), F.col("chunks")))
+    cells = stored(homes.join(chunks, ["gram", "kind"]).select("digest", cell.alias("cell")), "cells")
+
+    held = joined(postings, cells, "digest").groupBy("gram", "cell").agg(F.max("left").alias("most"), F.min("size").alias("low"), F.max("size").alias("high"))
+    held = stored(held, "held")
+    a, b = (held.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("cell", "most", "low", "high")]) for side in "ab")
+    # Of documents that link, the first gram in common has enough grams behind it in both.
+    reach = F.least("a_most", "b_most") * (100 + percent) >= (F.col("a_low") + F.col("b_low")) * percent
+    sizes = (F.col("a_high") * 100 >= F.col("b_low") * percent) & (F.col("b_high") * 100 >= F.col("a_low") * percent)
+    pairs = a.join(b, "gram").filter((F.col("a_cell") < F.col("b_cell")) & reach & sizes).select(F.col("a_cell").alias("i"), F.col("b_cell").alias("j")).distinct()
+    return cells, stored(pairs, "pairs")
+
+
+def _cuts(sets: DataFrame) -> list[int]:
+    """Keys at which the global order is cut into FRAGMENTS fragments of about equal weight."""
+    low = HASH_BITS - 6
+    found = sorted((r["bin"], r["count"]) for r in sets.select(F.explode("grams").alias("g")).groupBy(F.shiftright("g", low).alias("bin")).count().collect())
+    weight, seen, cuts = sum(n for _, n in found), 0, []
+    for at, n in found:
+        if seen >= weight * (len(cuts) + 1) / FRAGMENTS and len(cuts) < FRAGMENTS - 1:
+            cuts.append(at << low)
+        seen += n
+    return cuts
+
+
+def overlaps(left: tuple[np.ndarray, np.ndarray, int], right: tuple[np.ndarray, np.ndarray, int] | None) -> np.ndarray:
+    """How many keys each document of left has in common with each of right (None: of left). A side
+    is its documents' numbers by key, the keys, and the number of documents."""
+    sides = [left] if right is None else [left, right]
+    if right is None:
+        keys, counts = np.unique(left[1], return_counts=True)
+        keys = keys[counts > 1]
+    else:
+        keys = np.intersect1d(left[1], right[1])
+    out = np.zeros((left[2], sides[-1][2]), np.float32)
+    columns = []
+    for owners, own, _ in sides:
+        at = np.searchsorted(keys, own)
+        there = at < len(keys)
+        there[there] = keys[at[there]] == own[there]
+        order = np.argsort(at[there], kind="stable")
+        columns.append((owners[there][order], at[there][order]))
+    for a in range(0, len(keys), WIDTH):
         parts = []
-        for side, o, c in zip(sides, owner, column, strict=True):
-            inside = (c >= a) & (c < a + width)
-            x = np.zeros((len(side), width), np.float32)
-            x[o[inside], c[inside] - a] = 1
+        for (owners, at), (_, _, n) in zip(columns, sides, strict=True):
+            low, high = np.searchsorted(at, [a, a + WIDTH])
+            x = np.zeros((n, min(WIDTH, len(keys) - a)), np.float32)
+            x[owners[low:high], at[low:high] - a] = 1
             parts.append(x)
-        overlap += parts[0] @ parts[1].T
-    both = overlap.astype(np.int64)
-    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
-
-
-def _block_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(digest, root, links) from all blocks: link counts and spanning edges."""
-    counted = stored(groups.groupBy("label").agg(F.count("*").alias("n")), "groups")
-    small = counted.filter(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = sets.join(groups.withColumnRenamed("node", "digest"), "digest").join(counted, "label").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spreading = placed.withColumn("other", F.explode(others)).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    # Groups of one block share tasks of about 2000 documents.
-    task = F.when(F.col("chunks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(max(8, small // 2000))).cast("string"))).otherwise(F.concat_ws("-", F.hex("label"), "i", "j"))
-    schema = _schema(LINKS)
+        out += parts[0] @ parts[-1].T
+    return out
+
+
+def _squeezed_counts(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, compressed; empty if all are 0."""
+    top = counts.max(initial=0)
+    if not top:
+        return b""
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(counts.astype(kind).tobytes())
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int32)
+
 
-    def link(table: pa.Table) -> pa.Table:
-        members: dict[bytes, list[int]] = defaultdict(list)
-        columns = {c: table[c].to_pylist() for c in ("label", "digest", "size", "chunk", "i", "j")}
+def _packed(sets: DataFrame, cells: DataFrame, pairs: DataFrame, cuts: list[int]) -> DataFrame:
+    """PACKED rows by cell and fragment: the matrix of a cell alone, and the grams of cells in a pair."""
+    schema, edges = _schema(PACKED), np.array(cuts, np.int64)
+    partnered = pairs.select(F.col("i").alias("cell")).unionByName(pairs.select(F.col("j").alias("cell"))).distinct().withColumn("partnered", F.lit(True))
+    marked = stored(cells.join(partnered, "cell", "left").select("digest", "cell", F.coalesce("partnered", F.lit(False)).alias("partnered")), "marked")
+    tasks = max(8, input_bytes(sets) // TASK_BYTES)
+    placed = joined(sets, marked, "digest").select(F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task"), "cell", "partnered", "digest", "size", "grams")
+
+    def pack(table: pa.Table) -> pa.Table:
+        members: dict[int, list[int]] = defaultdict(list)
+        for k, c in enumerate(table["cell"].to_pylist()):
+            members[c].append(k)
+        digests, sizes, partnered = (table[c].to_pylist() for c in ("digest", "size", "partnered"))
         grams = [np.asarray(g.values) for g in table["grams"]]
-        for k, label in enumerate(columns["label"]):
-            members[label].append(k)
-        out = []
-        for rows in members.values():
-            i, j = columns["i"][rows[0]], columns["j"][rows[0]]
-            left = [k for k in rows if columns["chunk"][k] == i]
-            right = left if i == j else [k for k in rows if columns["chunk"][k] == j]
-            take = lambda side: [(columns["size"][k], grams[k]) for k in side]
-            found = linked_in_block(take(left), None if i == j else take(right), percent)
-            if i == j:
-                np.fill_diagonal(found, False)
-            root = {k: k for k in rows}
-
-            def top(k: int, root: dict = root) -> int:
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            for x, y in zip(*np.nonzero(found), strict=True):
-                a, b = top(left[x]), top(right[y])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-            degree = defaultdict(int)
-            for side, counts in ((left, found.sum(axis=1)), *(() if i == j else ((right, found.sum(axis=0)),))):
-                for k, c in zip(side, counts.tolist(), strict=True):
-                    degree[k] += c
-            out += [(columns["digest"][k], columns["digest"][top(k)], c) for k, c in degree.items() if c]
-        return pa.Table.from_batches(batches(schema, iter(out)), schema=schema)
-
-    ready = spreading.select(task.alias("task"), "label", "digest", "size", "chunk", "i", "j", "grams")
-    return stored(ready.groupBy("task").applyInArrow(link, LINKS), "links")
+
+        def rows() -> Iterator[tuple]:
+            for cell, own in members.items():
+                if len(own) == 1 and not partnered[own[0]]:
+                    continue
+                own.sort(key=digests.__getitem__)
+                names, held = b"".join(digests[k] for k in own), np.array([sizes[k] for k in own], "<i4").tobytes()
+                owners = np.repeat(np.arange(len(own), dtype=np.int32), [len(grams[k]) for k in own])
+                keys = np.concatenate([grams[k] for k in own])
+                fragment = np.searchsorted(edges, keys, "right")
+                for f in range(len(cuts) + 1):
+                    inside = fragment == f
+                    o, g = owners[inside], keys[inside]
+                    if len(g) and len(own) > 1:
+                        counts = _squeezed_counts(overlaps((o, g, len(own)), None)[np.tril_indices(len(own), -1)])
+                        if counts:
+                            yield cell, f, names, held, None, None, counts
+                    if len(g) and partnered[own[0]]:
+                        yield cell, f, names, held, o.tobytes(), g.tobytes(), None
+
+        made = pa.Table.from_batches(batches(schema, rows(), 16), schema=schema)
+        give_back()
+        return made
+
+    return stored(placed.groupBy("task").applyInArrow(pack, PACKED), "packed")
+
+
+def _partial(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """PARTIAL rows: the matrices of each fragment, of cells alone and of pairs of cells."""
+    schema = _schema(PARTIAL)
+    nothing = F.lit(None).cast("binary")
+    alone = packed.filter("counts is not null").select(F.col("cell").alias("i"), F.col("cell").alias("j"), F.col("digests").alias("left"), F.col("sizes").alias("left_sizes"), nothing.alias("right"), nothing.alias("right_sizes"), "counts")
+    sides = packed.filter("grams is not null").drop("counts")
+    left, right = (sides.select(F.col("cell").alias(n), "fragment", *[F.col(c).alias(f"{n}_{c}") for c in ("digests", "sizes", "owners", "grams")]) for n in "ij")
+    both = left.join(pairs, "i").join(right, ["j", "fragment"]).select("i", "j", *[f"{n}_{c}" for n in "ij" for c in ("digests", "sizes", "owners", "grams")])
+
+    def multiply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in source:
+                for k in range(b.num_rows):
+                    i, j, *side = (column[k].as_py() for column in b.columns)
+                    ends = [(np.frombuffer(side[at + 2], np.int32), np.frombuffer(side[at + 3], np.int64), len(side[at + 1]) // 4) for at in (0, 4)]
+                    counts = _squeezed_counts(overlaps(*ends).ravel())
+                    if counts:
+                        yield i, j, side[0], side[1], side[4], side[5], counts
+
+        yield from batches(schema, rows(), 16)
+        give_back()
+
+    return stored(alone.unionByName(both.mapInArrow(multiply, PARTIAL)), "partial")
+
+
+def reached(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of the links between rows and columns: a number for each row and each column, -1
+    where there is no link."""
+    rows, columns = np.full(found.shape[0], -1), np.full(found.shape[1], -1)
+    for start in np.flatnonzero(found.any(axis=1)).tolist():
+        if rows[start] >= 0:
+            continue
+        new = np.array([start])
+        while len(new):
+            rows[new] = start
+            more = np.flatnonzero(found[new].any(axis=0) & (columns < 0))
+            columns[more] = start
+            new = np.flatnonzero(found[:, more].any(axis=1) & (rows < 0)) if len(more) else more
+    return rows, columns
+
+
+def _links(partial: DataFrame, percent: int) -> DataFrame:
+    """(digest, root, links): the matrices of a pair's fragments summed up and compared."""
+    schema = _schema(LINKS)
+
+    def add(table: pa.Table) -> pa.Table:
+        pairs: dict[tuple, list[int]] = defaultdict(list)
+        for k, key in enumerate(zip(table["i"].to_pylist(), table["j"].to_pylist(), strict=True)):
+            pairs[key].append(k)
+
+        def rows() -> Iterator[tuple]:
+            for (i, j), own in pairs.items():
+                one = {c: table[c][own[0]].as_py() for c in ("left", "left_sizes", "right", "right_sizes")}
+                total = sum((_counts(table["counts"][k].as_py()) for k in own[1:]), _counts(table["counts"][own[0]].as_py()))
+                sides = [one["left"], one["right"]] if one["right"] is not None else [one["left"]]
+                names = [[side[k : k + 16] for k in range(0, len(side), 16)] for side in sides]
+                sizes = [np.frombuffer(one[c], "<i4").astype(np.int64) for c in ("left_sizes", "right_sizes") if one[c] is not None]
+                n, m = len(sizes[0]), len(sizes[-1])
+                both = np.zeros((n, m), np.int64)
+                if i == j:
+                    both[np.tril_indices(n, -1)] = total
+                    both += both.T
+                else:
+                    both[:] = total.reshape(n, m)
+                found = (both > 0) & (100 * both >= percent * (sizes[0][:, None] + sizes[-1][None, :] - both))
+                linked = found
+                if i == j:  # a document's row and column are one node
+                    linked = found | np.diag(found.any(axis=1))
+                across, down = reached(linked)
+                for side, marks, degree in ((0, across, found.sum(axis=1)), (-1, down, found.sum(axis=0)))[: 1 if i == j else 2]:
+                    for k in np.flatnonzero(marks >= 0).tolist():
+                        yield names[side][k], names[0][marks[k]], int(degree[k])
+
+        made = pa.Table.from_batches(batches(schema, rows()), schema=schema)
+        give_back()
+        return made
+
+    tasks = max(8, input_bytes(partial) // TASK_BYTES)
+    dealt = partial.withColumn("task", F.pmod(F.xxhash64("i", "j"), F.lit(tasks)))
+    return stored(dealt.groupBy("task").applyInArrow(add, LINKS), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row_key: str | None = None, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -287,12 +434,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     segments = _segments(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(row_key or doc_id).cast("bigint").alias("key"), F.col(text).cast("binary").alias("text")), n)
     buckets = buckets_for(input_bytes(segments))
     found = _candidate_sets(segments, _frequencies(segments, buckets, n), buckets, n, percent)
-    sets = stored(found.groupBy("digest").agg(F.first(F.struct("size", "prefix", "grams")).alias("s")).select("digest", "s.*"), "sets")
+    sets = stored(found.groupBy("digest").agg(F.first(F.struct("size", "alone", "prefix", "grams")).alias("s")).select("digest", "s.*"), "sets")
 
-    prefixes = sets.select("digest", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"))
-    stars = prefixes.groupBy("gram").agg(F.min("digest").alias("a"), F.count("*").alias("n")).filter("n > 1").select("gram", "a")
-    groups = components(prefixes.join(stars, "gram").filter("digest != a").select("a", F.col("digest").alias("b")).distinct())
-    links = _block_links(sets, groups, percent)
+    cells, pairs = _cells(sets, percent)
+    links = _links(_partial(_packed(sets, cells, pairs, _cuts(sets)), pairs), percent)
     labels = components(links.filter("digest != root").select(F.col("digest").alias("a"), F.col("root").alias("b")).distinct())
     degree = links.groupBy("digest").agg(F.sum("links").alias("links"))
 
@@ -320,5 +465,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, n_shingles, component_id and n_links, the other texts it links to."""
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "n_links")

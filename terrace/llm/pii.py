@@ -3,9 +3,10 @@
 Base patterns find emails, ip addresses, card and phone numbers. They seed the bootstrap: every
 identifier-like run of tokens (with a digit or an @) is an instance, without the punctuation that
 encloses it, the words around it are its lexical patterns; a run that is no identifier as a whole is
-parted into those it lists. Two rounds score the graph of patterns and instances: a pattern is as good as the
-trusted share of what it extracts, an instance is trusted if it is a seed or good patterns agree on
-it. Runs that good patterns extract, that look like their kind and overlap no base span, are added.
+parted into those it lists. Two rounds score the graph of patterns and instances: of what a pattern
+extracts, trusted instances speak for it and those that cannot be of the kind against it; those that
+may be, but are not known yet, are what the method looks for, and do neither. An instance is trusted
+if it is a seed or good patterns agree on it. Runs that good patterns extract, that look like their kind and overlap no base span, are added.
 
 Scores are joins and aggregations of edges counted by (pattern, instance), so a word that stands
 before a third of all numbers is as cheap as any other.
@@ -205,7 +206,7 @@ def discovered(keyed: DataFrame, text: str = "text", rounds: int = 2, least: int
     """(__row, kind, start, end) of runs that the bootstrap finds: not seeds themselves.
 
     A pattern is used for a kind if at least `least` different trusted instances stand in it and
-    the trusted share of its runs reaches `trust`; a run is found if the patterns around it reach
+    their share reaches `trust` among the runs that are trusted or lack the kind's form; a run is found if the patterns around it reach
     that together (1 - the product of their misses) and it has the kind's form.
     """
     runs = stored(candidates(stored(instances(keyed, text), "runs")), "candidates")
@@ -214,11 +215,12 @@ def discovered(keyed: DataFrame, text: str = "text", rounds: int = 2, least: int
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_contains("seeds", k).alias("seed"), F.col("found").rlike(FORM[k]).alias("form")) for k in KINDS])
     graph = edges.select("pattern", "instance", "n", F.explode(kinds).alias("k")).select("pattern", "instance", "n", "k.*")
     trusted = graph.filter("seed").select("instance", "kind").distinct()
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("all_runs"))
+    against = graph.filter("not form and not seed").groupBy("pattern", "kind").agg(F.sum("n").alias("miss"))
     good = confidence = None
     for _ in range(rounds):
         hits = graph.join(trusted, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("n").alias("hit"), F.count_if(F.col("n") > 0).alias("support")).filter(F.col("support") >= least)
-        good = stored(hits.join(totals, "pattern").withColumn("share", F.col("hit") / F.col("all_runs")).filter(F.col("share") >= trust).select("pattern", "kind", "share"), "patterns")
+        told = hits.join(against, ["pattern", "kind"], "left").withColumn("share", F.col("hit") / (F.col("hit") + F.coalesce("miss", F.lit(0.0))))
+        good = stored(told.filter(F.col("share") >= trust).select("pattern", "kind", "share"), "patterns")
         reach = graph.filter("form and not seed").join(good, ["pattern", "kind"])
         confidence = stored(reach.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("share", F.lit(0.999999)))))).alias("confidence")).filter(F.col("confidence") >= trust), "instances")
         trusted = trusted.unionByName(confidence.select("instance", "kind")).distinct()
@@ -228,22 +230,26 @@ def discovered(keyed: DataFrame, text: str = "text", rounds: int = 2, least: int
 
 
 def extract(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **bootstrap) -> DataFrame:
-    """Adds email, ip, card and phone (base spans: start, end, found) and spans, all spans with
+    """Adds email, ip, card and phone (base spans: start, end, found), base and spans, all spans with
     their kind in order of start, then kind.
 
-    Null texts count as empty and have none. Repeated rows share what is found; other columns stay.
+    Null texts count as empty and have none. Repeated rows share what is found. Other columns stay,
+    whatever their names; columns of the added names are replaced. An empty table gives no rows.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
-    more = discovered(keyed.select("__row", F.col(text).alias("text")), **bootstrap)
+    kept = [c for c in docs.columns if c not in (*KINDS, "base", "spans")]
+    row = F.xxhash64(F.col(doc_id), F.col(text)).alias("__row")
+    keyed = docs.select(F.struct(*kept).alias("__doc"), row, F.col(text).alias("__text"))
+    more = discovered(docs.select(row, F.col(text).alias("text")), **bootstrap)
     more = more.groupBy("__row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("__more"))
-    base = with_base(keyed, text).join(more, "__row", "left")
+    base = with_base(keyed, "__text").join(more, "__row", "left")
     named = F.concat(*[_ranked(kind, i) for i, kind in enumerate(KINDS)])
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     added = F.filter(
         F.transform(F.coalesce("__more", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda m: F.struct(m["start"].alias("start"), rank[m["kind"]].alias("rank"), m["end"].alias("end"))),
         lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
     )
-    return base.withColumn("__base", F.array_sort(named)).withColumn("__all", F.array_sort(F.concat("__base", added))).select(*docs.columns, *KINDS, F.col("__base").alias("base"), F.col("__all").alias("spans"))
+    found = base.withColumn("__base", F.array_sort(named)).withColumn("__all", F.array_sort(F.concat("__base", added)))
+    return found.select("__doc.*", *KINDS, F.col("__base").alias("base"), F.col("__all").alias("spans"))
 
 
 def _ranked(kind: str, rank: int) -> Column:
@@ -256,6 +262,8 @@ def _joined(spans: Column) -> Column:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, the counts of base spans by kind, the digest of the base spans, and
+    all spans, those that the bootstrap adds among them."""
     found = extract(read(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

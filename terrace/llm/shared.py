@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import io
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +40,27 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back() -> None:
+    """Hands a Python worker's free memory back to the system: Spark keeps the worker for whatever
+    stage comes next, and beside it the executor's other workers and its JVM need room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this application in the shared folder that spark.checkpoint.dir names.
 
-    Only where the session names none (tests on one machine) a local folder is made and set.
-    The folder goes when the driver ends.
+    Only where the session names none and the executors are threads of the driver (tests on one
+    machine) a local folder is made and set; a cluster without the setting is an error. The folder
+    goes when the driver ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="terrace-")
             spark.sparkContext.setCheckpointDir(base)
         _scratch[app] = f"{base.rstrip('/')}/terrace-{uuid.uuid4().hex}"
@@ -83,6 +98,20 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+#: What a stored table may have in bytes of files to be broadcast: some ten times that in memory.
+BROADCAST_BYTES = 8 << 20
+
+
+def small_enough(table: DataFrame) -> bool:
+    """Whether a stored table may be broadcast: its files' measured size decides."""
+    return input_bytes(table) <= BROADCAST_BYTES
+
+
+def joined(large: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join with a stored table, which is broadcast where its size allows and shuffled else."""
+    return large.join(F.broadcast(table) if small_enough(table) else table, on, how)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size in bytes: for a stored table, its files' size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

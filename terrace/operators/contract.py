@@ -18,6 +18,9 @@ from pyspark.sql.types import StringType
 
 from terrace.functions import text as fn
 
+#: What read_as can read a value as, and the rules of a quality policy.
+READ_AS = {"str"}
+RULES = {"range", "max_null_ratio", "max_duplicate_rate", "min_rows", "compare_columns"}
 KEYS = {"read_as", "null_tokens", "column_null_tokens", "coalesce", "rename", "zfill", "casts", "derived", "required", "quality"}
 
 
@@ -48,6 +51,12 @@ class Contract:
         unknown = sorted(set(spec) - KEYS)
         if unknown:
             raise ContractError("contract", ", ".join(unknown), why="unsupported key")
+        for kind in dict(spec.get("read_as", {})).values():
+            if kind not in READ_AS:
+                raise ContractError("contract", str(kind), why="unsupported read_as")
+        for name, rule in dict(spec.get("quality", {})).items():
+            if rule.get("rule") not in RULES:
+                raise ContractError("quality", name, why=f"unsupported rule {rule.get('rule')}")
         for kind in dict(spec.get("casts", {})).values():
             if kind not in fn.CASTS:
                 raise ContractError("contract", str(kind), why="unsupported cast")
@@ -61,24 +70,49 @@ class Contract:
 class Compiled:
     """silver: the standardised frame. guards: (stage, column) -> an aggregate that counts what
     breaks a rule (for mixed JSON types: the types beyond one), over `staged`, the frame with every
-    step's values side by side."""
+    step's values side by side. broken: those of the rules that a single row can break, told row by
+    row. quality: the policy that silver must keep; warnings: what it only warned of."""
 
     silver: DataFrame
     staged: DataFrame
     guards: dict[tuple[str, str], Column]
+    broken: dict[tuple[str, str], Column] = field(default_factory=dict)
+    quality: Mapping[str, Mapping] = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)
 
     def counts(self) -> DataFrame:
         """One row: for each guard the number of values that break it, in one pass."""
         return self.staged.agg(*[g.alias("__".join(k)) for k, g in self.guards.items()]) if self.guards else self.staged.agg(F.lit(0).alias("none"))
 
     def checked(self) -> DataFrame:
-        """silver, after one aggregation has found no broken rule; the first broken one raises."""
+        """silver, after one aggregation has found no broken rule and another, if there is a policy, no
+        violation of it; the first broken one raises."""
         row = self.counts().first().asDict()
         for stage, column in self.guards:
             if n := row[f"{stage}__{column}"]:
                 raise ContractError(stage, column, n)
+        if self.quality:
+            for r in quality_flags(self.silver, self.quality).filter("violations > 0").collect():
+                if not r["warned"]:
+                    raise ContractError("quality", r["rule"], r["violations"])
+                self.warnings.append(f"{r['rule']}: {r['violations']}")
         return self.silver
 
+    def enforced(self) -> DataFrame:
+        """silver with the rules in its own plan: the first row that breaks one ends the query, so that
+        refusing a source costs no second pass over it. Rules over all rows (mixed JSON types, a
+        quality policy) are checked beforehand, as checked() does."""
+        if set(self.guards) - set(self.broken) or self.quality:
+            self.checked()
+        rule = F.lit(None).cast("string")
+        for (stage, column), breaks in reversed(self.broken.items()):
+            rule = F.when(breaks, f"{stage}: {column}: refused").otherwise(rule)
+        if not self.broken:
+            return self.silver
+        kept = self.staged.withColumn("__rule", rule)
+        # raise_error gives no value: the filter keeps every row that it lets pass.
+        return kept.filter(F.when(F.col("__rule").isNotNull(), F.raise_error("__rule").cast("boolean")).otherwise(True)).select(*self.silver.columns)
+
 
 def _present(columns: Sequence[str], wanted: str, stage: str) -> None:
     if wanted not in columns:
@@ -92,6 +126,7 @@ def compile_contract(contract: Contract, bronze: DataFrame) -> Compiled:
     holds several JSON types and is not read as text breaks the heterogeneity guard.
     """
     guards: dict[tuple[str, str], Column] = {}
+    broken: dict[tuple[str, str], Column] = {}
     df, columns = bronze, list(bronze.columns)
     kinds = dict(bronze.dtypes)
 
@@ -127,7 +162,7 @@ def compile_contract(contract: Contract, bronze: DataFrame) -> Compiled:
             raise ContractError("coalesce", target, why=f"none of {', '.join(candidates)} is there")
         values = F.array_distinct(F.array_compact(F.array(*there)))
         added[target] = F.coalesce(*there)
-        guards["coalesce", target] = F.count_if(F.size(f"__all_{target}") > 1)
+        broken["coalesce", target] = F.size(f"__all_{target}") > 1
         df = df.withColumn(f"__all_{target}", values)
     df = df.withColumns(added) if added else df
     consumed = {c for cs in contract.coalesce.values() for c in cs} - set(added)
@@ -151,19 +186,26 @@ def compile_contract(contract: Contract, bronze: DataFrame) -> Compiled:
     for c in contract.casts:
         _present(out, c, "casts")
     df = df.withColumns({f"__raw_{c}": F.col(c) for c in contract.casts} | {c: fn.CASTS[kind](c) for c, kind in contract.casts.items()}) if contract.casts else df
-    guards |= {("casts", c): F.count_if(F.col(f"__raw_{c}").isNotNull() & F.col(c).isNull()) for c in contract.casts}
+    broken |= {("casts", c): F.col(f"__raw_{c}").isNotNull() & F.col(c).isNull() for c in contract.casts}
+    broken |= {("precision", c): _rounded(F.col(f"__raw_{c}"), F.col(c)) for c, kind in contract.casts.items() if kind.startswith("float")}
 
     for c, rule in contract.derived.items():
         parts = [rule["year"], rule["month"], rule["day"]]
         for p in parts:
             _present(out, p, "derived")
         df = df.withColumn(c, fn.date_of_parts(*parts))
-        guards["derived", c] = F.count_if(reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in parts]) & F.col(c).isNull())
+        broken["derived", c] = reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in parts]) & F.col(c).isNull()
         out.append(c)
 
     for c in contract.required:
         _present(out, c, "required")
-    return Compiled(df.select(*out), df, guards)
+    return Compiled(df.select(*out), df, guards | {k: F.count_if(c) for k, c in broken.items()}, broken, contract.quality)
+
+
+def _rounded(raw: Column, number: Column) -> Column:
+    """Whether a whole number stands for another one as a double: beyond 2^53 not all fit."""
+    whole = F.regexp_replace(raw.cast("string"), r"[,\s]", "").try_cast("decimal(38,0)")
+    return (F.abs(number) > F.lit(float(1 << 53))) & (whole != number.try_cast("decimal(38,0)"))
 
 
 def json_kind(c: str | Column) -> Column:
@@ -172,6 +214,7 @@ def json_kind(c: str | Column) -> Column:
     return (
         F.when(schema.isNull() | (schema == "VOID"), F.lit(None).cast("string"))
         .when(schema.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
+        .when(schema.rlike(r"^DECIMAL\([0-9]+, ?0\)"), "int")  # beyond 64 bits
         .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float")
         .when(schema == "BOOLEAN", "bool")
         .when(schema == "STRING", "str")

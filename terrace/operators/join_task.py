@@ -15,34 +15,33 @@ from terrace.operators.price_task import change_on_year
 KEYS = ["district_code", "apt_name", "year_month", "area_bucket"]
 
 
-def with_plain_names(df: DataFrame, column: str) -> DataFrame:
-    """Normalises names; the Python step for normal form C runs over distinct names only."""
-    names = df.select(F.col(column).alias("__name")).distinct().withColumn("__plain", fn.plain_name(fn.nfc("__name")))
-    return df.join(names, df[column].eqNullSafe(F.col("__name")), "left").withColumn(column, F.col("__plain")).drop("__name", "__plain")
-
-
 def prepared_from_bronze(bronze: DataFrame, amount: str, edges: tuple[float, ...] = fn.AREA_EDGES) -> DataFrame:
-    """The four keys and value, the price of a square metre, from source text."""
-    area = fn.to_float(fn.trimmed("excluUseAr"))
-    keyed = bronze.select(
-        fn.district_code("sggCd").alias("district_code"),
-        F.col("aptNm").alias("apt_name"),
-        fn.year_month_of("dealYear", "dealMonth").alias("year_month"),
-        fn.area_bucket(area, edges).alias("area_bucket"),
-        fn.price_per_m2(fn.amount(amount), area).alias("value"),
+    """The four keys and value, the price of a square metre, from source text: cleaned, then read, then
+    combined, a projection each, so that no text is cleaned or read twice."""
+    clean = bronze.select(
+        *[fn.trimmed(c).alias(c) for c in ("sggCd", "dealYear", "dealMonth", "excluUseAr")], fn.nfc("aptNm").alias("name"), fn.without_commas(amount).alias("amount")
+    )
+    numbers = clean.select(
+        "sggCd", F.regexp_replace("name", fn.NO_NAME, "").alias("name"), fn.to_int("dealYear").alias("year"), fn.to_int("dealMonth").alias("month"), fn.to_float("excluUseAr").alias("area"), fn.to_float("amount").alias("amount")
+    )
+    return numbers.select(
+        fn.padded_code("sggCd").alias("district_code"),
+        F.when(F.col("name") != "", F.col("name")).alias("apt_name"),
+        fn.month_text("year", "month").alias("year_month"),
+        fn.area_bucket("area", edges).alias("area_bucket"),
+        fn.price_per_m2("amount", "area").alias("value"),
     )
-    return with_plain_names(keyed, "apt_name")
 
 
 def prepared_from_silver(silver: DataFrame, amount: str, date: str, edges: tuple[float, ...] = fn.AREA_EDGES) -> DataFrame:
-    keyed = silver.select(
+    names = silver.withColumn("apt_name", F.regexp_replace(fn.nfc("apt_name"), fn.NO_NAME, ""))
+    return names.select(
         fn.district_code("district_code").alias("district_code"),
-        "apt_name",
-        F.date_format(date, "yyyy-MM").alias("year_month"),
+        F.when(F.col("apt_name") != "", F.col("apt_name")).alias("apt_name"),
+        fn.month_of(date).alias("year_month"),
         fn.area_bucket("area_m2", edges).alias("area_bucket"),
         fn.price_per_m2(amount, "area_m2").alias("value"),
     )
-    return with_plain_names(keyed, "apt_name")
 
 
 def jeonse_only(rents: DataFrame, monthly: str = "monthlyRent") -> DataFrame:
@@ -57,8 +56,16 @@ def invalid_key_rate(prepared: DataFrame) -> DataFrame:
 
 
 def fold(prepared: DataFrame) -> DataFrame:
-    """One row a key with the mean value; rows that lack a key or the value are left out."""
-    return prepared.dropna(subset=[*KEYS, "value"]).groupBy(*KEYS).agg(F.avg("value").alias("value"))
+    """One row a key with the mean value; rows that lack a key or the value are left out.
+
+    They are left out by counting: a filter below the aggregation would read the texts once more.
+    NaN counts as no value.
+    """
+    known = F.col("value").isNotNull() & ~F.isnan("value")
+    for k in KEYS:
+        known = known & F.col(k).isNotNull()
+    grouped = prepared.groupBy(*KEYS).agg(F.avg(F.when(known, F.col("value"))).alias("value"), F.count_if(known).alias("__n"))
+    return grouped.filter("__n > 0").drop("__n")
 
 
 def joined(sales: DataFrame, jeonse: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.text import NUMERIC, trimmed, zfill
 from terrace.operators.contract import json_kind
-from terrace.operators.roles import Role, holds, interpreted, stored_value
+from terrace.operators.roles import Role, holds, interpreted, padded, read, stored_value
 
 #: The names of the causes, in the order in which their rules are tried.
 CAUSES = (
@@ -41,15 +41,24 @@ def token(df: DataFrame, column: str) -> Column:
     return F.struct(F.when(text.isNull(), "null").otherwise(F.coalesce(name, F.lit("null"))).alias("kind"), text.alias("value"))
 
 
-def _role_cells(role: Role, df: DataFrame, layer: str) -> tuple[Column, Column, Column, Column]:
-    """(stored text, type of what is stored, readable, canonical value) of a role in a layer."""
-    names = [c for c in (role.bronze if layer == "bronze" else role.silver) if c in df.columns]
-    stored = stored_value(role, layer, df.columns)
-    text = stored.cast("string")
-    kind = F.lit("str") if len(names) > 1 else token(df, names[0])["kind"]
-    value = interpreted(role, stored)
-    missing = ~holds(stored, role.null_tokens)
-    return text, F.when(text.isNull(), "null").otherwise(kind), missing | value.isNotNull(), value
+def _cells(roles: Sequence[Role], df: DataFrame, layer: str, side: str) -> DataFrame:
+    """_ordinal and for each role a struct `<side>_<role>` of t (stored text), k (type of what is stored),
+    r (readable) and v (canonical value). Text, reading and padding are a projection each, so that no
+    cell is read twice."""
+
+    def kind(role: Role) -> Column:
+        names = [c for c in (role.bronze if layer == "bronze" else role.silver) if c in df.columns]
+        return F.lit("str") if len(names) > 1 else token(df, names[0])["kind"]
+
+    texts = df.select(ORDINAL, *[c for i, r in enumerate(roles) for c in (stored_value(r, layer, df.columns).cast("string").alias(f"t{i}"), kind(r).alias(f"k{i}"))])
+    values = texts.select("*", *[read(r, F.col(f"t{i}")).alias(f"v{i}") for i, r in enumerate(roles)])
+    cells = []
+    for i, r in enumerate(roles):
+        text, value = F.col(f"t{i}"), F.col(f"v{i}")
+        of_kind = F.when(text.isNull(), "null").otherwise(F.col(f"k{i}"))
+        readable = ~holds(text, r.null_tokens) | value.isNotNull()
+        cells.append(F.struct(text.alias("t"), of_kind.alias("k"), readable.alias("r"), padded(r, value).alias("v")).alias(f"{side}_{r.name}"))
+    return values.select(ORDINAL, *cells)
 
 
 def cause(role: Role, b: tuple[Column, ...], s: tuple[Column, ...]) -> Column:
@@ -94,21 +103,21 @@ def pair_and_classify(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role
     Layers are paired by _ordinal. changed: what is stored differs; comparable: both sides can be
     read; preserved: comparable and of the same value. Causes add up to rows.
     """
-    left = bronze.select(F.col(ORDINAL), *[F.struct(*[c.alias(n) for c, n in zip(_role_cells(r, bronze, "bronze"), "tkrv", strict=True)]).alias(f"b_{r.name}") for r in roles])
-    right = silver.select(F.col(ORDINAL), *[F.struct(*[c.alias(n) for c, n in zip(_role_cells(r, silver, "silver"), "tkrv", strict=True)]).alias(f"s_{r.name}") for r in roles])
-    both = left.join(right, ORDINAL)
+    both = _cells(roles, bronze, "bronze", "b").join(_cells(roles, silver, "silver", "s"), ORDINAL)
     cells = []
     for r in roles:
         b, s = (tuple(F.col(f"{side}_{r.name}")[n] for n in "tkrv") for side in "bs")
         comparable = b[2] & s[2]
         cells.append(F.struct(F.lit(r.name).alias("role"), F.lit(r.required).alias("required"), cause(r, b, s).alias("cause"), comparable.alias("comparable"), (comparable & b[3].eqNullSafe(s[3])).alias("preserved")))
-    long = both.select(F.inline(F.array(*cells)))
+    # Counted by what can differ first: few rows, on the map side; then spread over columns.
+    long = both.select(F.inline(F.array(*cells))).groupBy("role", "required", "cause", "comparable", "preserved").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
     return long.groupBy("role", "required").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("cause") != "unchanged").alias("changed"),
-        F.count_if("comparable").alias("comparable"),
-        F.count_if("preserved").alias("preserved"),
-        *[F.count_if(F.col("cause") == c).alias(c) for c in CAUSES],
+        F.sum("n").alias("rows"),
+        of(F.col("cause") != "unchanged").alias("changed"),
+        of(F.col("comparable")).alias("comparable"),
+        of(F.col("preserved")).alias("preserved"),
+        *[of(F.col("cause") == c).alias(c) for c in CAUSES],
     )
 
 

@@ -13,42 +13,69 @@ from terrace.functions import text as fn
 
 
 def prepared_from_bronze(bronze: DataFrame) -> DataFrame:
-    """district_code, year_month, price_per_m2 from source text."""
-    return bronze.select(
-        fn.district_code("sggCd").alias("district_code"),
-        fn.year_month_of("dealYear", "dealMonth").alias("year_month"),
-        fn.price_per_m2(fn.amount("dealAmount"), fn.to_float(fn.trimmed("excluUseAr"))).alias("price_per_m2"),
+    """district_code, year_month, price_per_m2 from source text: cleaned, then read, then combined, a
+    projection each, so that no text is cleaned or read twice."""
+    clean = bronze.select(*[fn.trimmed(c).alias(c) for c in ("sggCd", "dealYear", "dealMonth", "excluUseAr")], fn.without_commas("dealAmount").alias("amount"))
+    numbers = clean.select("sggCd", fn.to_int("dealYear").alias("year"), fn.to_int("dealMonth").alias("month"), fn.to_float("excluUseAr").alias("area"), fn.to_float("amount").alias("amount"))
+    return numbers.select(
+        fn.padded_code("sggCd").alias("district_code"),
+        fn.month_text("year", "month").alias("year_month"),
+        fn.price_per_m2("amount", "area").alias("price_per_m2"),
     )
 
 
 def prepared_from_silver(silver: DataFrame) -> DataFrame:
     return silver.select(
         fn.district_code("district_code").alias("district_code"),
-        F.date_format("deal_date", "yyyy-MM").alias("year_month"),
+        fn.month_of("deal_date").alias("year_month"),
         fn.price_per_m2("price_10k_krw", "area_m2").alias("price_per_m2"),
     )
 
 
+#: Steps that an octave of prices is cut into.
+STEPS = 32
+
+
 def gold(prepared: DataFrame) -> DataFrame:
     """Count, mean and exact median of the prices by district and month; rows without a price or
     a key are left out.
 
-    Prices are counted by value first, on the map side and spread by district, month and price, so a
-    district with a third of all deals is no hot group; the median is read off the running counts.
+    Prices are counted by value on the map side and spread by district, month and price. Counts by
+    step (a range of prices of about 2 percent) tell which steps hold the middle, and only these
+    steps' prices are put in order. So a district with a third of all deals is no hot group: its
+    steps are few, and a step's different prices are all that one task sees at once. Usable rows are
+    counted, not filtered, which keeps the optimizer from reading the texts once more for a filter.
     """
     keys = ["district_code", "year_month"]
-    usable = prepared.filter("price_per_m2 is not null and not isnan(price_per_m2) and district_code is not null and year_month is not null")
-    counted = usable.groupBy(*keys, F.col("price_per_m2").alias("price")).agg(F.count(F.lit(1)).alias("n"))
+    price = F.col("price_per_m2")
+    usable = price.isNotNull() & ~F.isnan(price) & F.col("district_code").isNotNull() & F.col("year_month").isNotNull()
+    counted = prepared.groupBy(*keys, price.alias("price")).agg(F.count_if(usable).alias("n")).filter("n > 0")
+    # Nothing is null any more. Said in this way it holds for the optimizer too, which would otherwise
+    # push a filter for the join below both of its sides, and there read the texts once more.
+    counted = counted.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], F.coalesce("price", F.lit(0.0)).alias("price"), "n")
+    counted = counted.withColumn("step", F.coalesce(step_of("price"), F.lit(0.0))).repartition(*keys, "step")
+    steps = counted.groupBy(*keys, "step").agg(F.sum("n").alias("held"), F.sum(F.col("price") * F.col("n")).alias("sum"))
     group = Window.partitionBy(*keys)
-    running = counted.withColumns({"seen": F.sum("n").over(group.orderBy("price")), "total": F.sum("n").over(group)})
-    middle = lambda place: F.min(F.when(F.col("seen") >= place, F.col("price")))
-    return running.groupBy(*keys).agg(
-        F.sum("n").alias("n_deals"),
-        (F.sum(F.col("price") * F.col("n")) / F.sum("n")).alias("mean_price_per_m2"),
-        ((middle(F.floor((F.col("total") + 1) / 2)) + middle(F.floor(F.col("total") / 2) + 1)) / 2).alias("median_price_per_m2"),
+    running = steps.withColumns({"until": F.sum("held").over(group.orderBy("step")), "total": F.sum("held").over(group), "whole": F.sum("sum").over(group)})
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    before = F.col("until") - F.col("held")
+    middle = running.filter((before < high) & (F.col("until") >= low)).select(*keys, "step", before.alias("before"), "total", "whole", low.alias("low"), high.alias("high"))
+    seen = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "step").orderBy("price"))
+    placed = counted.join(middle, [*keys, "step"]).withColumn("seen", seen)
+    first = lambda place: F.min(F.when(F.col("seen") >= F.col(place), F.col("price")))
+    return placed.groupBy(*keys).agg(
+        F.first("total").alias("n_deals"),
+        (F.first("whole") / F.first("total")).alias("mean_price_per_m2"),
+        ((first("low") + first("high")) / 2).alias("median_price_per_m2"),
     )
 
 
+def step_of(price: str) -> Column:
+    """The step that a price lies in; higher prices never lie in a lower step."""
+    c = F.col(price)
+    return F.signum(c) * F.floor(F.log2(1 + F.abs(c)) * STEPS)
+
+
 def change_on_year(table: DataFrame, value: str, out: str, how: Column | None = None) -> DataFrame:
     """Adds the change of `value` on the same month a year before: relative, or `how` over columns
     `now` and `before`.

@@ -97,12 +97,20 @@ def interpreted(role: Role, stored: Column) -> Column:
     Tokens count before anything is trimmed; the cast reads the rest, numbers and dates in their
     plain spelling; padding comes last.
     """
-    text = stored.cast("string")
-    value = F.when(holds(stored, role.null_tokens), text)
+    return padded(role, read(role, stored.cast("string")))
+
+
+def read(role: Role, text: Column) -> Column:
+    """What the role's cast reads in a stored text, as text again."""
+    value = F.when(holds(text, role.null_tokens), text)
     if role.cast:
         if role.cast not in fn.CASTS:
             raise ValueError(f"no interpreter for cast {role.cast} of role {role.name}")
         value = fn.CASTS[role.cast](value).cast("string")
+    return value
+
+
+def padded(role: Role, value: Column) -> Column:
     return fn.zfill(value, role.zfill) if role.zfill else value
 
 

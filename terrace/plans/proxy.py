@@ -21,7 +21,8 @@ def _lines(spark: SparkSession, sf_dir: str, status: str, names: bool = True) ->
     # Joined by equality; the optimizer broadcasts a side where its size allows.
     lines = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     if names:
-        lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+        named = F.concat(F.replace("p_name", F.lit(" "), F.lit("-(")), F.lit(") "))
+        lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", named.alias("aptNm")), F.col("l_partkey") == F.col("p_partkey"))
     return lines
 
 
@@ -34,12 +35,15 @@ def _texts(lines: DataFrame, names: bool) -> dict:
         "dealDay": F.day("l_shipdate").cast("string"),
     }
     if names:
-        made["aptNm"] = F.concat(F.regexp_replace("p_name", " ", "-("), F.lit(") "))
+        made["aptNm"] = F.col("aptNm")
     return made
 
 
 def _money(column: str):
-    return F.format_number(F.floor(column), 0)
+    """Whole amounts below a million, as nearly all are, with their one separator; others formatted."""
+    n = F.floor(column)
+    small = F.when(n < 1000, n.cast("string")).otherwise(F.concat(F.floor(n / 1000).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0")))
+    return F.when(n.between(0, 999_999), small).otherwise(F.format_number(n, 0))
 
 
 def trades(spark: SparkSession, sf_dir: str, names: bool = True) -> DataFrame:
@@ -63,3 +67,14 @@ TRADES = {
     "derived": {"deal_date": {"kind": "date_parts", "year": "deal_year", "month": "deal_month", "day": "deal_day"}},
     "required": ["district_code", "deal_date", "area_m2", "price_10k_krw"],
 }
+#: Sales and rents with their buildings' names, for the task that joins them.
+SALES = TRADES | {"rename": TRADES["rename"] | {"aptNm": "apt_name"}}
+RENTS = {
+    "read_as": {"sggCd": "str"},
+    "null_tokens": ["", "-"],
+    "rename": {"sggCd": "district_code", "aptNm": "apt_name", "excluUseAr": "area_m2", "deposit": "deposit_10k_krw", "monthlyRent": "monthly_rent_10k_krw", "dealYear": "deal_year", "dealMonth": "deal_month", "dealDay": "deal_day"},
+    "zfill": {"district_code": 5},
+    "casts": {"deposit_10k_krw": "int_comma", "monthly_rent_10k_krw": "int_comma", "area_m2": "float", "deal_year": "int", "deal_month": "int", "deal_day": "int"},
+    "derived": {"deal_date": {"kind": "date_parts", "year": "deal_year", "month": "deal_month", "day": "deal_day"}},
+    "required": ["district_code", "apt_name", "deal_date", "area_m2", "deposit_10k_krw", "monthly_rent_10k_krw"],
+}

@@ -20,7 +20,7 @@ T1_ROUND = {"mean_price_per_m2": 2, "median_price_per_m2": 2}
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ct.compile_contract(ct.Contract.of(proxy.TRADES), proxy.trades(spark, sf_dir, names=False)).silver
+    return ct.compile_contract(ct.Contract.of(proxy.TRADES), proxy.trades(spark, sf_dir, names=False)).enforced()
 
 
 def t1_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,23 @@ def t3_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(join_task.analyze(_t3_gold(spark, sf_dir)), T3_ROUND | {"jeonse_ratio": 9, "jeonse_ratio_yoy_change": 9})
 
 
+def _t3_gold_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = ct.compile_contract(ct.Contract.of(proxy.SALES), proxy.trades(spark, sf_dir)).enforced()
+    rents = ct.compile_contract(ct.Contract.of(proxy.RENTS), proxy.rents(spark, sf_dir)).enforced()
+    jeonse = join_task.jeonse_only(rents, "monthly_rent_10k_krw")
+    sides = [join_task.prepared_from_silver(df, amount, "deal_date", proxy.EDGES) for df, amount in ((sales, "price_10k_krw"), (jeonse, "deposit_10k_krw"))]
+    return join_task.gold(join_task.joined(*map(join_task.fold, sides)))
+
+
+def t3_gold_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 from the silver layer: both sources through their contracts."""
+    return _rounded(_t3_gold_silver(spark, sf_dir), T3_ROUND)
+
+
+def t3_analysis_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(join_task.analyze(_t3_gold_silver(spark, sf_dir)), T3_ROUND | {"jeonse_ratio": 9, "jeonse_ratio_yoy_change": 9})
+
+
 def t3_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(join_task.diagnostics(join_task.fold(_sales(spark, sf_dir)), join_task.fold(_jeonse(spark, sf_dir))), {"join_matching_rate": 12})
 
@@ -118,6 +135,8 @@ SELECT round(n / (SELECT count(*) FROM s), 12) AS join_matching_rate, (SELECT co
     "t3_invalid_keys": f"WITH {NAMED} SELECT round(avg(CASE WHEN area % 7 = 0 THEN 1 ELSE 0 END), 12) AS invalid_key_rate FROM l WHERE l_linestatus = 'F'",
 }
 
+SQL |= {"t3_gold_silver": SQL["t3_gold"], "t3_analysis_silver": SQL["t3_analysis"]}
+
 
 # ---- contract language -------------------------------------------------------------------------
 
@@ -154,7 +173,7 @@ EVENTS = {
 
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coalesce, null tokens, zfill and year_month together, row by row."""
-    return ct.compile_contract(ct.Contract.of(EVENTS), _events(spark, sf_dir)).silver.select("event_id", "gender", "station_code", "ym_raw")
+    return ct.compile_contract(ct.Contract.of(EVENTS), _events(spark, sf_dir)).checked().select("event_id", "gender", "station_code", "ym_raw")
 
 
 def contract_guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,4 +221,4 @@ SELECT 'quantity' AS rule, q AS violations, false AS warned FROM n UNION ALL SEL
 UNION ALL SELECT 'rows', CASE WHEN rows < 100 THEN 100 - rows ELSE 0 END, false FROM n UNION ALL SELECT 'once', CASE WHEN d > rows * 0.01 THEN d ELSE 0 END, true FROM n
 UNION ALL SELECT 'discounted', c, false FROM n""",
 }
-QUERIES = {f.__name__: f for f in (t1_bronze, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}
+QUERIES = {f.__name__: f for f in (t1_bronze, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_gold_silver, t3_analysis_silver, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}

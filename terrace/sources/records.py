@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.contract import json_kind
@@ -32,19 +32,18 @@ HEADERS: dict[str, tuple[str, ...]] = {
 def with_ordinal(df: DataFrame) -> DataFrame:
     """Adds _ordinal, 0 to n - 1 in the order of the input's files and lines.
 
-    Rows are numbered within their partition; only the partitions' counts go to the driver. Write
-    the frame before using the numbers in two plans: they follow the layout of this scan.
+    Rows are numbered within their partition, behind the rows of the partitions before it: a small
+    table that is joined, so neither the plan nor the driver grows with the input. Write the frame
+    before using the numbers in two plans: they follow the layout of this scan.
     """
     marked = df.withColumn("__id", F.monotonically_increasing_id())
-    place, part = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("__id", 33)
-    sizes = {r[0]: r[1] for r in marked.groupBy(part.alias("p")).count().collect()}
-    offsets, seen = {}, 0
-    for p in sorted(sizes):
-        offsets[p], seen = seen, seen + sizes[p]
-    if not offsets:
-        return marked.withColumn(ORDINAL, F.col("__id")).drop("__id")
-    start = F.create_map(*[F.lit(x).cast("bigint") for kv in offsets.items() for x in kv])
-    return marked.withColumn(ORDINAL, start[part] + place).drop("__id")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    # One row a partition: the only thing that is ever in one place.
+    before = F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")
+    starts = sizes.select("__part", before.alias("__start"))
+    found = marked.withColumns({"__part": part, "__place": place}).join(starts, "__part")
+    return found.select(*df.columns, (F.col("__start") + F.col("__place")).alias(ORDINAL))
 
 
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -97,11 +96,100 @@ def as_declared(records: DataFrame, types: Mapping[str, Sequence[str]]) -> DataF
     return records.select(*out)
 
 
-def land(records: DataFrame, path: str, level: int = 3) -> None:
-    """Writes a layer as Parquet in zstd."""
+#: Rows of a row group and the codec of controlled files.
+ROW_GROUP, CODEC = 131_072, "ZSTD"
+
+
+def land(records: DataFrame, path: str, level: int = 3, read_as: Mapping[str, str] | None = None) -> None:
+    """Writes a layer as Parquet in zstd, variant columns that read_as names as their text."""
+    texts = {c: F.try_variant_get(c, "$", "string") if dict(records.dtypes)[c] == "variant" else F.col(c).cast("string") for c in read_as or {}}
+    records = records.withColumns(texts) if texts else records
     records.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
 
+def land_controlled(df: DataFrame, path: str, rows: int = ROW_GROUP) -> None:
+    """Writes a layer whose size can be compared with another's: zstd, row groups of exactly `rows` rows
+    but for the last of a file. Spark closes row groups by bytes, so pyarrow writes the files, on
+    the executors, a partition each; the folder must be one that all machines share."""
+    import uuid
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark import TaskContext
+
+    folder = path.removeprefix("file://")
+    if Path(folder).exists():
+        raise FileExistsError(path)
+    Path(folder).mkdir(parents=True)
+    token = uuid.uuid4().hex
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A second attempt at a partition writes the same file anew and takes the place of the first.
+        name, writer, held, n, written = f"part-{TaskContext.get().partitionId():05d}-{token}.parquet", None, [], 0, 0
+        hidden = Path(folder) / f".{name}.{TaskContext.get().taskAttemptId()}"
+        for batch in batches:
+            writer = writer or pq.ParquetWriter(hidden, batch.schema, compression=CODEC)
+            held.append(batch)
+            n += batch.num_rows
+            while n >= rows:
+                table = pa.Table.from_batches(held)
+                writer.write_table(table.slice(0, rows), row_group_size=rows)
+                held, n, written = table.slice(rows).to_batches(), n - rows, written + rows
+        if writer:
+            if n:
+                writer.write_table(pa.Table.from_batches(held), row_group_size=rows)
+            writer.close()
+            hidden.rename(Path(folder) / name)
+        yield pa.RecordBatch.from_pydict({"rows": [written + n]}, schema=pa.schema([("rows", pa.int64())]))
+
+    df.mapInArrow(write, "rows bigint").agg(F.sum("rows")).first()
+
+
+def footers(path: str) -> list[dict]:
+    """What the files of a layer say of themselves: file, codecs, rows of each row group, writer."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    root, found = Path(path.removeprefix("file://")), []
+    for file in sorted(root.rglob("*.parquet")) if root.is_dir() else [root]:
+        meta = pq.ParquetFile(file).metadata
+        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+        codecs = {g.column(c).compression for g in groups for c in range(g.num_columns)}
+        found.append({"file": file.name, "codecs": sorted(codecs), "row_groups": [g.num_rows for g in groups], "writer": meta.created_by})
+    return found
+
+
+def control_problems(layers: Mapping[str, str], rows: int = ROW_GROUP, codec: str = CODEC) -> list[str]:
+    """Why the files of layers (name -> path) cannot be compared by size; empty if they can."""
+    problems, writers = [], set()
+    for name, path in layers.items():
+        told = footers(path)
+        if not told:
+            problems.append(f"{name}: no file")
+        for f in told:
+            writers.add(f["writer"])
+            if f["codecs"] not in ([codec], []):
+                problems.append(f"{name}/{f['file']}: codec {', '.join(f['codecs'])}")
+            if any(n != rows for n in f["row_groups"][:-1]) or any(n > rows for n in f["row_groups"][-1:]):
+                problems.append(f"{name}/{f['file']}: row groups of {f['row_groups']} rows")
+    if len(writers) > 1:
+        problems.append(f"written by {', '.join(sorted(writers))}")
+    return problems
+
+
+def reencode(spark: SparkSession, source: str, target: str) -> int:
+    """Rewrites a layer as a controlled one and makes sure that the same rows come out; their number."""
+    before = spark.read.parquet(source)
+    land_controlled(before, target)
+    after = spark.read.schema(before.schema).parquet(target)
+    lost, gained = before.exceptAll(after).limit(1).count(), after.exceptAll(before).limit(1).count()
+    if lost or gained:
+        raise ValueError(f"{target} does not hold the rows of {source}")
+    return after.count()
+
+
 def classify(header: Sequence[str]) -> str:
     """The generation of a header; one that is not known is refused."""
     for name, known in HEADERS.items():

@@ -207,6 +207,23 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.extract(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("unseen", [1, 4, 11])
+def test_unseen_identifiers_do_not_count_against_their_pattern(spark, unseen):
+    rows = [(i, f"text contact: user{i}@mail.example.com please") for i in range(12)] + [(100 + i, f"text contact: hidden{i}@intranet please") for i in range(unseen)]
+    rows += [(200 + i, f"the room {i} again") for i in range(30)] + [(300, "the room a@b again")]
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s not in r.base] for r in pii.extract(frame(spark, rows)).collect()}
+    assert all(got[100 + i] == [f"hidden{i}@intranet"] for i in range(unseen))
+    assert not any(found for i, found in got.items() if not 100 <= i < 200)
+
+
+def test_personal_data_keeps_columns_and_repeated_rows(spark):
+    rows = [(1, "a@b.co and 1.2.3.4"), (1, "a@b.co and 1.2.3.4"), (1, None), (None, "+1 (656) 555-6510"), (None, None)]
+    df = frame(spark, rows).withColumns({"email": F.lit("mine"), "base": F.lit("x"), "__x": F.lit(3), "left": F.lit("l")})
+    got = pii.extract(df)
+    assert got.columns == ["doc_id", "text", "__x", "left", *pii.KINDS, "base", "spans"]
+    assert sorted((str(r.doc_id), str(r.text), r.left, len(r.spans)) for r in got.collect()) == sorted((str(i), str(t), "l", len(brute_spans(t))) for i, t in rows)
+
+
 def test_bootstrap_needs_words_on_one_side_only(spark):
     wide = " " * 60
     rows = [(i, f"text {'xyz'[i % 3]} contact: user{i}@mail.example.com please") for i in range(40)]
@@ -302,8 +319,9 @@ def test_near_duplicates(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_blocks_agree_with_sets(monkeypatch, spark):
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+@pytest.mark.parametrize("cell", [7, 1024])
+def test_cells_agree_with_sets(monkeypatch, spark, cell):
+    monkeypatch.setattr(ngram_join, "CELL", cell)
     rng = random.Random(5)
     text = [f"w{i}" for i in range(60)]
     rows = []
@@ -314,6 +332,41 @@ def test_blocks_agree_with_sets(monkeypatch, spark):
         rows.append((i, " ".join(copy)))
     got = ngram_join.near_duplicates(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+    assert {r.doc_id: r.n_links for r in got} == brute_links(rows)
+
+
+def brute_links(rows):
+    """How many other texts a text links to."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = (tuple(w), {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    links = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    return {i: len({v for v, s in sets.values() if v != w and links(own, s)}) for i, (w, own) in sets.items()}
+
+
+def test_prefixes_that_connect_without_links(spark):
+    """A chain of texts, each sharing a part with the next, and a hub part in many: no link."""
+    part = lambda k: " ".join(f"p{k}w{i}" for i in range(20))
+    rows = [(k, f"{part(k)} {part(k + 1)} {part(k + 2)}") for k in range(0, 300, 2)] + [(1000 + k, f"{part('hub')} {part(1000 + k)}") for k in range(150)]
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got) and len(got) == len(rows)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(4_000):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"v{i}"
+        rows.append((i, " ".join(copy)))
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == len(rows)
+    # Two texts link unless their changes lie so far apart that ten shingles are lost on either side.
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in rows]
+    for i in (0, 1, 1999, 3999):
+        assert next(r.n_links for r in got if r.doc_id == i) == sum(j != i and 100 * len(sets[i] & s) >= 75 * len(sets[i] | s) for j, s in enumerate(sets))
 
 
 def test_near_duplicates_without_ids_or_with_one(spark):
