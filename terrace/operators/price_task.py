@@ -53,7 +53,7 @@ def gold(prepared: DataFrame) -> DataFrame:
     # Nothing is null any more. Said in this way it holds for the optimizer too, which would otherwise
     # push a filter for the join below both of its sides, and there read the texts once more.
     counted = counted.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], F.coalesce("price", F.lit(0.0)).alias("price"), "n")
-    counted = counted.withColumn("step", F.coalesce(step_of("price"), F.lit(0.0))).repartition(*keys, "step")
+    counted = counted.withColumn("step", F.coalesce(step_of("price"), F.lit(0))).repartition(*keys, "step")
     steps = counted.groupBy(*keys, "step").agg(F.sum("n").alias("held"), F.sum(F.col("price") * F.col("n")).alias("sum"))
     group = Window.partitionBy(*keys)
     running = steps.withColumns({"until": F.sum("held").over(group.orderBy("step")), "total": F.sum("held").over(group), "whole": F.sum("sum").over(group)})
@@ -71,9 +71,10 @@ def gold(prepared: DataFrame) -> DataFrame:
 
 
 def step_of(price: str) -> Column:
-    """The step that a price lies in; higher prices never lie in a lower step."""
-    c = F.col(price)
-    return F.signum(c) * F.floor(F.log2(1 + F.abs(c)) * STEPS)
+    """The step that a price lies in; higher prices never lie in a lower step. It is a whole number:
+    as a key, a floating one would be normalized in every plan that compares partitionings."""
+    size = F.floor(F.log2(1 + F.abs(price)) * STEPS)
+    return F.when(F.col(price) < 0, -size).otherwise(size)
 
 
 def change_on_year(table: DataFrame, value: str, out: str, how: Column | None = None) -> DataFrame:
