@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from datetime import date
 from pathlib import Path, PurePath
 
+#: Files that a digest leaves out, and the layers.
 SKIPPED = {"metadata.json", ".DS_Store", ".gitkeep"}
 LAYERS = ("bronze", "silver", "gold")
 #: What a run adds to a specification without changing what it builds.

@@ -97,6 +97,10 @@ def test_runs_and_results(spark, tmp_path):
     for bad in ({**good[0]}, {**good[0], "run_id": "n", "condition": "nowhere"}, {**good[0], "run_id": "m", "beauty": 1}, {**good[0], "run_id": "o", "output_hash": None}):
         with pytest.raises(ValueError):
             store.append([bad])
+    (tmp_path / "results").rename(tmp_path / "results.next")
+    assert store.load().count() == 3  # a replacement cut off between its two steps
+    store.drop_task("other")
+    assert store.load().count() == 3 and not (tmp_path / "results.next").exists()
     store.drop_task("t")
     assert store.load().count() == 0
 
@@ -104,6 +108,7 @@ def test_runs_and_results(spark, tmp_path):
 def test_code_metrics():
     assert runs.code_metrics(prepare_rows) == {"loc": 3, "net_loc": 2, "functions": 1, "steps": 1}
     assert runs.effective_lines('"""doc"""\n\nx = 1  # one\n# two\ny = (\n    2\n)\n') == 4
+    assert runs.effective_lines('class A:\n    """doc\n    more"""\n\n    def f(self):\n        # one\n        return """a\n\n# b"""\n') == 5
     assert runs.redefined("def a(): pass\ndef b(): pass", "def b(): pass") == {"b"}
 
 
