@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.llm import bpe, decontaminate, exact_dedup, language, line_templates, lm_score, neighbours, ngram_join, pii, toxicity, url_filter, whitening
+from terrace.llm import bpe, conversations, decontaminate, exact_dedup, language, line_templates, lm_score, neighbours, ngram_join, pii, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8,
         "op9_language_id": language.op9,
         "op10_toxicity": toxicity.op10,
+        "op11_conversation_repair": conversations.op11,
         "op12_neighbours": neighbours.op12,
         "op13_whitening": whitening.op13,
     }

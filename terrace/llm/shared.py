@@ -112,6 +112,14 @@ def joined(large: DataFrame, table: DataFrame, on: str, how: str = "inner") -> D
     return large.join(F.broadcast(table) if small_enough(table) else table, on, how)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a Spark schema written as text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size in bytes: for a stored table, its files' size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
