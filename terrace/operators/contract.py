@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from terrace.functions import text as fn
+from terrace.functions.json_types import json_kind, json_text
 
 #: What read_as can read a value as, and the rules of a quality policy.
 READ_AS = {"str"}
@@ -134,7 +135,7 @@ def compile_contract(contract: Contract, bronze: DataFrame) -> Compiled:
     for c in columns:
         if kinds[c] == "variant":
             if c in contract.read_as:
-                typed[c] = F.try_variant_get(c, "$", "string")
+                typed[c] = json_text(c)
             else:
                 guards["heterogeneous", c] = F.greatest(F.size(F.collect_set(f"__kind_{c}")) - 1, F.lit(0))
                 df = df.withColumn(f"__kind_{c}", json_kind(c))
@@ -208,20 +209,6 @@ def _rounded(raw: Column, number: Column) -> Column:
     return (F.abs(number) > F.lit(float(1 << 53))) & (whole != number.try_cast("decimal(38,0)"))
 
 
-def json_kind(c: str | Column) -> Column:
-    """int, float, str, bool, or null for JSON null and absent values of a variant."""
-    schema = F.schema_of_variant(fn.as_column(c))
-    return (
-        F.when(schema.isNull() | (schema == "VOID"), F.lit(None).cast("string"))
-        .when(schema.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
-        .when(schema.rlike(r"^DECIMAL\([0-9]+, ?0\)"), "int")  # beyond 64 bits
-        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float")
-        .when(schema == "BOOLEAN", "bool")
-        .when(schema == "STRING", "str")
-        .otherwise(F.lower(schema))
-    )
-
-
 def quality_flags(df: DataFrame, policy: Mapping[str, Mapping]) -> DataFrame:
     """(rule, violations, warned) for a quality policy, in one aggregation.
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.json_types import json_kind, json_text
 from terrace.functions.text import NUMERIC, trimmed, zfill
-from terrace.operators.contract import json_kind
 from terrace.operators.roles import Role, holds, interpreted, padded, read, stored_value
 
 #: The names of the causes, in the order in which their rules are tried.
@@ -32,7 +32,7 @@ def token(df: DataFrame, column: str) -> Column:
     kind = dict(df.dtypes)[column]
     c = F.col(column)
     if kind == "variant":
-        name, text = json_kind(c), F.try_variant_get(c, "$", "string")
+        name, text = json_kind(c), json_text(c)
     else:
         static = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float", "string": "str", "boolean": "bool", "date": "date"}
         name, text = F.lit(static.get(kind, kind)), c.cast("string")

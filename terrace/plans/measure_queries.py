@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.functions import json_types
 from terrace.functions import text as fn
 from terrace.operators import compare, pairing, quality, reports
 from terrace.operators import roles as ro
@@ -328,19 +329,37 @@ def month_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.months(spark, "201911", "202403")
 
 
-def json_field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON types inside one column: numbers, text, floats and nulls stay apart."""
+#: JSON literals that one column may hold, by the order key: number, text, float, null and others.
+_LITERALS = {"mixed": ('"7"', "7.5", "null", "7", "7"), "whole": ("1", "1.0", "null", "1", "1"), "exponent": ("1e0", "2.50", "-0.0", "1E5", "null"), "wide": ("123456789012345678901234567890", "7", "null", "-8", "0"), "wider": ("1" * 40, "null", "1", "1", "1"), "never": ("null",) * 5}
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON lines; a key is absent where the order key ends in 9."""
     k = F.col("o_orderkey")
-    text = F.when(k % 5 == 0, F.lit('"7"')).when(k % 5 == 1, F.lit("7.5")).when(k % 5 == 2, F.lit("null")).otherwise(F.lit("7"))
-    o = table(spark, sf_dir, "orders").select(F.parse_json(text).alias("mixed"), F.parse_json(F.lit("true")).alias("flag"))
-    return records.field_types(o).select("field", F.array_join("types", ",").alias("types"), "rows")
+    pairs = [F.when(k % 10 != 9, F.concat(F.lit(f'"{f}": '), F.element_at(F.array(*map(F.lit, arms)), (k % 5 + 1).cast("int")))) for f, arms in _LITERALS.items()]
+    flag = F.concat(F.lit('"flag": '), (k % 2 == 0).cast("string"))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("{"), F.concat_ws(", ", *pairs, flag), F.lit("}")).alias("value"))
+
+
+def json_field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON types inside one column, as their literals spell them, in one pass over the lines."""
+    states = json_types.type_states(_json_lines(spark, sf_dir))
+    mask, digits = F.col("mask"), F.col("digits")
+    return states.select("field", F.array_join(json_types.types_in(mask), ",").alias("types"), "digits", "present", json_types.native_type(mask, digits).alias("native"))
+
 
+_JSON = "WITH v AS (SELECT 'flag' AS field, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS t FROM orders" + "".join(
+    f" UNION ALL SELECT '{f}', [{', '.join(repr(x) for x in arms)}][o_orderkey % 5 + 1] FROM orders WHERE o_orderkey % 10 <> 9" for f, arms in _LITERALS.items()
+) + r"""),
+k AS (SELECT field, t, CASE WHEN t = 'null' THEN NULL WHEN t IN ('true', 'false') THEN 'bool' WHEN t LIKE '"%' THEN 'str' WHEN regexp_full_match(t, '-?[0-9]+') THEN 'int' ELSE 'float' END AS kind FROM v),
+g AS (SELECT field, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS types, coalesce(max(CASE WHEN kind = 'int' THEN length(ltrim(t, '-')) END), 0) AS digits, count(kind) AS present FROM k GROUP BY 1)
+SELECT *, CASE types WHEN 'int' THEN CASE WHEN digits <= 18 THEN 'bigint' WHEN digits <= 38 THEN 'decimal(38,0)' ELSE 'string' END WHEN 'float' THEN 'double' WHEN 'bool' THEN 'boolean' WHEN '' THEN 'string' WHEN 'str' THEN 'string' ELSE 'json' END AS native FROM g"""
 
 SQL |= {
     "systematic_sample": "WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id AS _ordinal, event_type FROM events, n WHERE event_id % CAST(greatest(1, ceil(n / 500)) AS BIGINT) = 0",
     "last_wins_dedupe": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "month_sequence": "SELECT strftime(d, '%Y%m') AS month FROM (SELECT unnest(generate_series(DATE '2019-11-01', DATE '2024-03-01', INTERVAL 1 MONTH)) AS d)",
-    "json_field_types": "SELECT 'mixed' AS field, 'float,int,str' AS types, count(*) AS rows FROM orders UNION ALL SELECT 'flag', 'bool', count(*) FROM orders",
+    "json_field_types": _JSON,
 }
 QUERIES = {
     f.__name__: f

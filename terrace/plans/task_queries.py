@@ -189,6 +189,8 @@ def contract_guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.month("o_orderdate").cast("string").alias("month"),
         F.year("o_orderdate").cast("string").alias("year"),
         F.parse_json(F.when(k % 19 == 0, F.lit('"7"')).otherwise(F.lit("7"))).alias("mixed"),
+        F.parse_json(F.when(k % 23 == 0, F.lit("1.0")).otherwise(F.lit("1"))).alias("halves"),
+        F.parse_json(F.when(k % 2 == 0, F.lit("1" * 30)).when(k % 3 == 0, F.lit("null")).otherwise(F.lit("1"))).alias("wide"),
     )
     spec = {"coalesce": {"ym": ["a", "b"]}, "casts": {"amount": "int", "year": "int", "month": "int", "day": "int"}, "derived": {"on": {"kind": "date_parts", "year": "year", "month": "month", "day": "day"}}}
     found = ct.compile_contract(ct.Contract.of(spec), bronze).counts()
@@ -213,6 +215,7 @@ SQL |= {
     "contract_trades": f"WITH {LINES} SELECT district_code, count(*) AS n, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS price, sum(area) AS area, CAST(min(l_shipdate) AS DATE) AS first_deal, CAST(max(l_shipdate) AS DATE) AS last_deal FROM l WHERE l_linestatus = 'F' GROUP BY 1",
     "contract_events": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE event_type END AS gender, lpad(CAST(user_id % 3000 AS VARCHAR), 5, '0') AS station_code, strftime(ts, '%Y-%m') AS ym_raw FROM events",
     "contract_guard_counts": """SELECT CASE WHEN count(*) FILTER (WHERE o_orderkey % 19 = 0) > 0 THEN 1 ELSE 0 END AS heterogeneous__mixed,
+ CASE WHEN count(*) FILTER (WHERE o_orderkey % 23 = 0) > 0 THEN 1 ELSE 0 END AS heterogeneous__halves, CAST(0 AS BIGINT) AS heterogeneous__wide,
  count(*) FILTER (WHERE o_orderkey % 13 = 0 AND strftime(o_orderdate, '%Y-%m') <> '1999-01') AS coalesce__ym, count(*) FILTER (WHERE o_orderkey % 11 = 0) AS casts__amount,
  CAST(0 AS BIGINT) AS casts__year, CAST(0 AS BIGINT) AS casts__month, CAST(0 AS BIGINT) AS casts__day, count(*) FILTER (WHERE o_orderkey % 17 = 0) AS derived__on FROM orders""",
     "counterfactual_policy": """WITH n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE l_quantity < 5 OR l_quantity > 45) AS q, count(*) FILTER (WHERE l_tax <= 0) AS t,

@@ -9,10 +9,10 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.operators.contract import json_kind
+from terrace.functions.json_types import digits, json_text, native_type, spelt, type_bit, types_in
 
 ORDINAL = "_ordinal"
 #: The reader's functions travel with the plan, so that executors need no installation.
@@ -60,7 +60,8 @@ def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, keys: Sequence[str] | None = None, ordinal: bool = True) -> DataFrame:
-    """Records as one variant column a key, without any coercion: 0, "0" and 0.0 stay apart.
+    """Records as one variant column a key, without any coercion: 0, "0" and 0.0 stay apart, and integers
+    of any length from floats (see json_types).
 
     Keys come from the union over all records unless given; a key that a record lacks is null.
     """
@@ -69,28 +70,55 @@ def read_jsonl(spark: SparkSession, path: str, keys: Sequence[str] | None = None
     source = with_ordinal(source) if ordinal else source
     record = source.withColumn("__r", F.parse_json("value"))
     kept = [ORDINAL] if ordinal else []
-    return record.select(*kept, *[F.try_variant_get("__r", "$['" + k.replace("'", "\\'") + "']", "variant").alias(k) for k in keys])
+    return record.select(*kept, *[spelt(_value(k), _literal(k)).alias(k) for k in keys])
+
+
+def _value(key: str) -> Column:
+    """A record's value. Paths have no spelling for a key with both kinds of quotes, or a backslash."""
+    if "\\" in key or ("'" in key and '"' in key):
+        return F.element_at(F.try_variant_get("__r", "$", "map<string,variant>"), F.lit(key))
+    return F.try_variant_get("__r", f'$["{key}"]' if "'" in key else f"$['{key}']", "variant")
+
+
+def _literal(key: str) -> Column:
+    """The text of a record's value."""
+    if "'" in key or "\\" in key:
+        return F.element_at(F.from_json("value", "map<string,string>"), F.lit(key))
+    return F.get_json_object("value", f"$['{key}']")
 
 
 def field_types(records: DataFrame) -> DataFrame:
-    """(field, types, rows): the JSON types that each variant column holds, nulls left out."""
+    """(field, types, rows, digits, native): the JSON types that each variant column holds, nulls left out,
+    the length of its longest integer and the Spark type that holds them all (json: JSON text)."""
     fields = [c for c, t in records.dtypes if t == "variant"]
-    told = [F.struct(F.lit(c).alias("field"), F.array_sort(F.collect_set(json_kind(c))).alias("types"), F.count(F.lit(1)).alias("rows")) for c in fields]
-    return records.agg(F.array(*told).alias("all")).select(F.inline("all"))
+    told = [F.struct(F.lit(c).alias("field"), F.coalesce(F.bit_or(type_bit(c)), F.lit(0)).alias("mask"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(digits(c)), F.lit(0)).cast("bigint").alias("digits")) for c in fields]
+    states = records.agg(F.array(*told).alias("all")).select(F.inline("all"))
+    return states.select("field", types_in(F.col("mask")).alias("types"), "rows", "digits", native_type(F.col("mask"), F.col("digits")).alias("native"))
 
 
 _NATIVE = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
 
 
-def as_declared(records: DataFrame, types: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Variant columns as native ones: one type gives that type, several give JSON text, none text."""
+def as_declared(records: DataFrame, types: Mapping[str, Sequence[str]], digits: Mapping[str, int] | None = None) -> DataFrame:
+    """Variant columns as native ones: one type gives that type, several give JSON text, none text.
+
+    `digits` tells the columns' longest integers, where known: more than 18 give decimal(38,0), more
+    than 38 text. An integer that its type cannot hold is an error, never a null.
+    """
     out = []
     for c in records.columns:
-        seen = types.get(c)
+        seen, long = types.get(c), (digits or {}).get(c, 0)
         if seen is None:
             out.append(F.col(c))
         elif len(seen) == 1:
-            out.append(F.try_variant_get(c, "$", _NATIVE.get(seen[0], "string")).alias(c))
+            kind = _NATIVE.get(seen[0], "string")
+            if kind == "bigint" and long > 18:
+                kind = "decimal(38,0)" if long <= 38 else "string"
+            value = json_text(c) if kind == "string" else F.try_variant_get(c, "$", kind)
+            if seen[0] == "int" and kind != "string":
+                too_long = F.raise_error(F.concat(F.lit(f"{c}: no {kind}: "), json_text(c))).cast(kind)
+                value = F.when(value.isNull() & json_text(c).isNotNull(), too_long).otherwise(value)
+            out.append(value.alias(c))
         else:
             out.append((F.to_json(c) if seen else F.lit(None).cast("string")).alias(c))
     return records.select(*out)
@@ -102,7 +130,7 @@ ROW_GROUP, CODEC = 131_072, "ZSTD"
 
 def land(records: DataFrame, path: str, level: int = 3, read_as: Mapping[str, str] | None = None) -> None:
     """Writes a layer as Parquet in zstd, variant columns that read_as names as their text."""
-    texts = {c: F.try_variant_get(c, "$", "string") if dict(records.dtypes)[c] == "variant" else F.col(c).cast("string") for c in read_as or {}}
+    texts = {c: json_text(c) if dict(records.dtypes)[c] == "variant" else F.col(c).cast("string") for c in read_as or {}}
     records = records.withColumns(texts) if texts else records
     records.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
