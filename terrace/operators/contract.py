@@ -8,16 +8,17 @@ source. Nothing is ever skipped silently.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from terrace.functions import text as fn
-from terrace.functions.json_types import json_kind, json_text
+from terrace.functions.json_types import json_text, type_bit
 
 #: What read_as can read a value as, and the rules of a quality policy.
 READ_AS = {"str"}
@@ -93,26 +94,69 @@ class Compiled:
             if n := row[f"{stage}__{column}"]:
                 raise ContractError(stage, column, n)
         if self.quality:
-            for r in quality_flags(self.silver, self.quality).filter("violations > 0").collect():
-                if not r["warned"]:
-                    raise ContractError("quality", r["rule"], r["violations"])
-                self.warnings.append(f"{r['rule']}: {r['violations']}")
+            self._within_policy(self.silver)
         return self.silver
 
     def enforced(self) -> DataFrame:
         """silver with the rules in its own plan: the first row that breaks one ends the query, so that
         refusing a source costs no second pass over it. Rules over all rows (mixed JSON types, a
-        quality policy) are checked beforehand, as checked() does."""
+        quality policy) are checked beforehand, as checked() does.
+
+        The rules stand above the projection that reads the texts and cannot sink below it, so every
+        cast is evaluated once for its value and its rule.
+        """
         if set(self.guards) - set(self.broken) or self.quality:
             self.checked()
+        if not self.broken:
+            return self.silver
         rule = F.lit(None).cast("string")
         for (stage, column), breaks in reversed(self.broken.items()):
             rule = F.when(breaks, f"{stage}: {column}: refused").otherwise(rule)
-        if not self.broken:
-            return self.silver
-        kept = self.staged.withColumn("__rule", rule)
+        # A projection with a value that is not deterministic is one that no filter passes.
+        read = self.staged.withColumn("__at", F.spark_partition_id())
         # raise_error gives no value: the filter keeps every row that it lets pass.
-        return kept.filter(F.when(F.col("__rule").isNotNull(), F.raise_error("__rule").cast("boolean")).otherwise(True)).select(*self.silver.columns)
+        kept = F.when(rule.isNotNull(), F.raise_error(F.concat(rule, F.lit(" in partition "), F.col("__at").cast("string"))).cast("boolean")).otherwise(F.col("__at") >= 0)
+        return read.filter(kept).select(*self.silver.columns)
+
+    def land(self, path: str, compression: str = "zstd") -> DataFrame:
+        """Writes silver as a layer, fail-closed: one pass over the source writes the rows beside the
+        layer's place and counts what breaks each rule; the layer takes its place by a rename, and
+        only where every count is 0. A refused source leaves no layer and no files. The written rows,
+        read again, come back; a quality policy is measured over them before the rename."""
+        spark = self.staged.sparkSession
+        fs = _files(spark, path)
+        place, beside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"))
+        if fs.exists(place):
+            raise FileExistsError(path)
+        counted, source = Observation("contract"), self.staged
+        if self.guards:
+            source = source.observe(counted, *[g.cast("bigint").alias("__".join(k)) for k, g in self.guards.items()])
+        try:
+            source.select(*self.silver.columns).write.option("compression", compression).parquet(beside.toString())
+            found = counted.get if self.guards else {}
+            for stage, column in self.guards:
+                # Without a row there is nothing counted.
+                if n := found.get(f"{stage}__{column}") or 0:
+                    raise ContractError(stage, column, n)
+            if self.quality:
+                self._within_policy(spark.read.schema(self.silver.schema).parquet(beside.toString()))
+            if not fs.rename(beside, place):
+                raise FileExistsError(path)
+        finally:
+            fs.delete(beside, True)
+        return spark.read.schema(self.silver.schema).parquet(path)
+
+    def _within_policy(self, silver: DataFrame) -> None:
+        for r in quality_flags(silver, self.quality).filter("violations > 0").collect():
+            if not r["warned"]:
+                raise ContractError("quality", r["rule"], r["violations"])
+            self.warnings.append(f"{r['rule']}: {r['violations']}")
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system that a path lies in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _present(columns: Sequence[str], wanted: str, stage: str) -> None:
@@ -137,8 +181,8 @@ def compile_contract(contract: Contract, bronze: DataFrame) -> Compiled:
             if c in contract.read_as:
                 typed[c] = json_text(c)
             else:
-                guards["heterogeneous", c] = F.greatest(F.size(F.collect_set(f"__kind_{c}")) - 1, F.lit(0))
-                df = df.withColumn(f"__kind_{c}", json_kind(c))
+                guards["heterogeneous", c] = F.greatest(F.bit_count(F.bit_or(f"__kind_{c}")) - 1, F.lit(0))
+                df = df.withColumn(f"__kind_{c}", type_bit(c))
                 typed[c] = F.try_variant_get(c, "$", "string")
         elif c in contract.read_as:
             typed[c] = F.col(c).cast("string")
@@ -204,9 +248,9 @@ def compile_contract(contract: Contract, bronze: DataFrame) -> Compiled:
 
 
 def _rounded(raw: Column, number: Column) -> Column:
-    """Whether a whole number stands for another one as a double: beyond 2^53 not all fit."""
+    """Whether a whole number stands for another one as a double: from 2^53 on not all fit."""
     whole = F.regexp_replace(raw.cast("string"), r"[,\s]", "").try_cast("decimal(38,0)")
-    return (F.abs(number) > F.lit(float(1 << 53))) & (whole != number.try_cast("decimal(38,0)"))
+    return (F.abs(number) >= F.lit(float(1 << 53))) & (whole != number.try_cast("decimal(38,0)"))
 
 
 def quality_flags(df: DataFrame, policy: Mapping[str, Mapping]) -> DataFrame:

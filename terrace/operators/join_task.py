@@ -34,13 +34,15 @@ def prepared_from_bronze(bronze: DataFrame, amount: str, edges: tuple[float, ...
 
 
 def prepared_from_silver(silver: DataFrame, amount: str, date: str, edges: tuple[float, ...] = fn.AREA_EDGES) -> DataFrame:
-    names = silver.withColumn("apt_name", F.regexp_replace(fn.nfc("apt_name"), fn.NO_NAME, ""))
-    return names.select(
-        fn.district_code("district_code").alias("district_code"),
-        F.when(F.col("apt_name") != "", F.col("apt_name")).alias("apt_name"),
-        fn.month_of(date).alias("year_month"),
+    parts = silver.select(
+        fn.trimmed("district_code").alias("code"), F.regexp_replace(fn.nfc("apt_name"), fn.NO_NAME, "").alias("name"), F.year(date).alias("year"), F.month(date).alias("month"), "area_m2", F.col(amount).alias("amount")
+    )
+    return parts.select(
+        fn.padded_code("code").alias("district_code"),
+        F.when(F.col("name") != "", F.col("name")).alias("apt_name"),
+        fn.month_text("year", "month").alias("year_month"),
         fn.area_bucket("area_m2", edges).alias("area_bucket"),
-        fn.price_per_m2(amount, "area_m2").alias("value"),
+        fn.price_per_m2("amount", "area_m2").alias("value"),
     )
 
 
@@ -65,7 +67,9 @@ def fold(prepared: DataFrame) -> DataFrame:
     for k in KEYS:
         known = known & F.col(k).isNotNull()
     grouped = prepared.groupBy(*KEYS).agg(F.avg(F.when(known, F.col("value"))).alias("value"), F.count_if(known).alias("__n"))
-    return grouped.filter("__n > 0").drop("__n")
+    # Nothing is null any more. Said in this way it holds for the optimizer too, which would otherwise
+    # push a join's filters below both of its sides, and there read the texts once more.
+    return grouped.filter("__n > 0").select(*[F.coalesce(k, F.lit("")).alias(k) for k in KEYS], "value")
 
 
 def joined(sales: DataFrame, jeonse: DataFrame) -> DataFrame:

@@ -25,9 +25,11 @@ def prepared_from_bronze(bronze: DataFrame) -> DataFrame:
 
 
 def prepared_from_silver(silver: DataFrame) -> DataFrame:
-    return silver.select(
-        fn.district_code("district_code").alias("district_code"),
-        fn.month_of("deal_date").alias("year_month"),
+    """As from bronze, out of typed columns; what is used several times comes from a projection of its own."""
+    parts = silver.select(fn.trimmed("district_code").alias("code"), F.year("deal_date").alias("year"), F.month("deal_date").alias("month"), "price_10k_krw", "area_m2")
+    return parts.select(
+        fn.padded_code("code").alias("district_code"),
+        fn.month_text("year", "month").alias("year_month"),
         fn.price_per_m2("price_10k_krw", "area_m2").alias("price_per_m2"),
     )
 

@@ -173,7 +173,7 @@ EVENTS = {
 
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coalesce, null tokens, zfill and year_month together, row by row."""
-    return ct.compile_contract(ct.Contract.of(EVENTS), _events(spark, sf_dir)).checked().select("event_id", "gender", "station_code", "ym_raw")
+    return ct.compile_contract(ct.Contract.of(EVENTS), _events(spark, sf_dir)).enforced().select("event_id", "gender", "station_code", "ym_raw")
 
 
 def contract_guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

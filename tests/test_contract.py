@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from terrace.operators.contract import Contract, ContractError, compile_contract, drift, quality_flags
 
+FOLDER = "/root/testdata/sf0.001"
 TRADES = {
     "rename": {"sggCd": "district_code", "dealAmount": "price", "excluUseAr": "area_m2"},
     "casts": {"price": "int_comma", "area_m2": "float", "y": "int", "m": "int", "d": "int"},
@@ -78,3 +81,55 @@ def test_quality_policy_and_drift(spark):
 
 def test_an_empty_source_passes(spark):
     assert compile_contract(Contract.of(TRADES), trades(spark).limit(0)).checked().count() == 0
+
+
+def layers(folder):
+    return sorted(p.name for p in folder.iterdir())
+
+
+def test_a_refused_source_leaves_no_layer(spark, tmp_path):
+    for change, stage, column in [({"dealAmount": "12만"}, "casts", "price"), ({"y": "12.5"}, "casts", "y"), ({"d": "32"}, "derived", "deal_date"), ({"excluUseAr": "9007199254740993"}, "precision", "area_m2")]:
+        with pytest.raises(ContractError) as refused:
+            compile_contract(Contract.of(TRADES), trades(spark, **change)).land(str(tmp_path / "silver"))
+        assert (refused.value.stage, refused.value.column, refused.value.count) == (stage, column, 1)
+        assert layers(tmp_path) == []
+    mixed = spark.createDataFrame([("1",), ("1.0",)], "j string").select(F.parse_json("j").alias("floor"))
+    with pytest.raises(ContractError, match="heterogeneous"):
+        compile_contract(Contract.of({}), mixed).land(str(tmp_path / "silver"))
+    policy = {"quality": {"r": {"rule": "range", "column": "price", "min": 0, "max": 10}}}
+    with pytest.raises(ContractError, match="quality"):
+        compile_contract(Contract.of(TRADES | policy), trades(spark)).land(str(tmp_path / "silver"))
+    assert layers(tmp_path) == []
+
+
+def test_a_sound_source_lands_once(spark, tmp_path):
+    compiled = compile_contract(Contract.of(TRADES | {"quality": {"r": {"rule": "range", "column": "price", "min": 0, "max": 10, "severity": "warn"}}}), trades(spark))
+    landed = compiled.land(str(tmp_path / "silver"))
+    assert layers(tmp_path) == ["silver"] and compiled.warnings == ["r: 2"]
+    assert sorted(map(str, landed.collect())) == sorted(map(str, compiled.silver.collect()))
+    with pytest.raises(FileExistsError):
+        compiled.land(str(tmp_path / "silver"))
+    empty = compile_contract(Contract.of(TRADES), trades(spark).limit(0))
+    assert empty.land(str(tmp_path / "empty")).count() == 0
+    assert compile_contract(Contract.of({}), trades(spark)).land(str(tmp_path / "plain")).count() == 2
+
+
+def test_enforced_refuses_and_lets_pass(spark):
+    assert compile_contract(Contract.of(TRADES), trades(spark)).enforced().count() == 2
+    for change in ({"dealAmount": "12만"}, {"d": "32"}):
+        with pytest.raises(Exception, match="refused"):
+            # No column that breaks the rule is read.
+            compile_contract(Contract.of(TRADES), trades(spark, **change)).enforced().select("district_code").collect()
+
+
+def test_each_text_is_read_once(spark):
+    """Copies in the optimised plan: a cast for its value and its rule, and none for a filter."""
+    from terrace.plans import task_queries
+
+    if not os.path.isdir(FOLDER):
+        pytest.skip("the test tables are not here")
+    # contract_trades has five casts; T1 plans its prices twice (steps and places; the shuffle is shared).
+    most = {"contract_trades": (5, 2), "t1_silver": (10, 4), "t1_bronze": (8, 0), "t3_gold": (9, 2), "t3_gold_silver": (12, 6)}
+    for name, (extracts, replaces) in most.items():
+        plan = task_queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract") <= extracts and plan.count("regexp_replace") <= replaces, name
