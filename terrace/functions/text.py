@@ -157,6 +157,11 @@ def plain_name(c: Column | str) -> Column:
     return F.when(kept != "", kept)
 
 
+def normal_name(c: Column | str) -> Column:
+    """plain_name of a name in any normal form."""
+    return plain_name(nfc(c))
+
+
 def date_text(year: Column | str, month: Column | str, day: Column | str) -> Column:
     """Parts joined as YYYY-MM-DD without a check; null where one is null."""
     return F.concat(zfill(trimmed(year), 4), F.lit("-"), zfill(trimmed(month), 2), F.lit("-"), zfill(trimmed(day), 2))

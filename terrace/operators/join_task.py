@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import text as fn
+from terrace.operators.dictionary import Group, evaluated
 from terrace.operators.price_task import change_on_year
 
 KEYS = ["district_code", "apt_name", "year_month", "area_bucket"]
@@ -33,6 +34,20 @@ def prepared_from_bronze(bronze: DataFrame, amount: str, edges: tuple[float, ...
     )
 
 
+def prepared_by_value(bronze: DataFrame, amount: str, edges: tuple[float, ...] = fn.AREA_EDGES, **road) -> DataFrame:
+    """As prepared_from_bronze, with columns of few values read once a value: names above all, whose
+    normal form is the dearest of the text functions."""
+    groups = [
+        Group(["sggCd"], {"district_code": fn.district_code("sggCd")}),
+        Group(["aptNm"], {"apt_name": fn.normal_name("aptNm")}),
+        Group(["dealYear", "dealMonth"], {"year_month": fn.year_month_of("dealYear", "dealMonth")}),
+        Group(["excluUseAr"], {"area": fn.to_float(fn.trimmed("excluUseAr"))}),
+        Group([amount], {"amount": fn.amount(amount)}),
+    ]
+    read = evaluated(bronze.select(*[c for g in groups for c in g.inputs]), groups, **road)
+    return read.select("district_code", "apt_name", "year_month", fn.area_bucket("area", edges).alias("area_bucket"), fn.price_per_m2("amount", "area").alias("value"))
+
+
 def prepared_from_silver(silver: DataFrame, amount: str, date: str, edges: tuple[float, ...] = fn.AREA_EDGES) -> DataFrame:
     parts = silver.select(
         fn.trimmed("district_code").alias("code"), F.regexp_replace(fn.nfc("apt_name"), fn.NO_NAME, "").alias("name"), F.year(date).alias("year"), F.month(date).alias("month"), "area_m2", F.col(amount).alias("amount")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.json_types import json_kind, json_text
 from terrace.functions.text import NUMERIC, trimmed, zfill
+from terrace.operators.dictionary import Group, evaluated
 from terrace.operators.roles import Role, holds, interpreted, padded, read, stored_value
 
 #: The names of the causes, in the order in which their rules are tried.
@@ -41,17 +42,21 @@ def token(df: DataFrame, column: str) -> Column:
     return F.struct(F.when(text.isNull(), "null").otherwise(F.coalesce(name, F.lit("null"))).alias("kind"), text.alias("value"))
 
 
-def _cells(roles: Sequence[Role], df: DataFrame, layer: str, side: str) -> DataFrame:
+def _cells(roles: Sequence[Role], df: DataFrame, layer: str, side: str, by_value: bool = False) -> DataFrame:
     """_ordinal and for each role a struct `<side>_<role>` of t (stored text), k (type of what is stored),
     r (readable) and v (canonical value). Text, reading and padding are a projection each, so that no
-    cell is read twice."""
+    cell is read twice; by_value reads each different text once, where they are few."""
 
     def kind(role: Role) -> Column:
         names = [c for c in (role.bronze if layer == "bronze" else role.silver) if c in df.columns]
         return F.lit("str") if len(names) > 1 else token(df, names[0])["kind"]
 
     texts = df.select(ORDINAL, *[c for i, r in enumerate(roles) for c in (stored_value(r, layer, df.columns).cast("string").alias(f"t{i}"), kind(r).alias(f"k{i}"))])
-    values = texts.select("*", *[read(r, F.col(f"t{i}")).alias(f"v{i}") for i, r in enumerate(roles)])
+    if by_value:
+        groups = [Group([f"t{i}", f"k{i}"], {f"t{i}": F.col(f"t{i}"), f"k{i}": F.col(f"k{i}"), f"v{i}": read(r, F.col(f"t{i}"))}) for i, r in enumerate(roles)]
+        values = evaluated(texts, groups)
+    else:
+        values = texts.select("*", *[read(r, F.col(f"t{i}")).alias(f"v{i}") for i, r in enumerate(roles)])
     cells = []
     for i, r in enumerate(roles):
         text, value = F.col(f"t{i}"), F.col(f"v{i}")
@@ -97,13 +102,14 @@ def structural(role: Role) -> str:
     return "same_name" if role.bronze[0] == role.name else "rename"
 
 
-def pair_and_classify(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role]) -> DataFrame:
+def pair_and_classify(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role], by_value: bool = False) -> DataFrame:
     """(role, required, rows, changed, comparable, preserved, and a column for each cause), one row a role.
 
     Layers are paired by _ordinal. changed: what is stored differs; comparable: both sides can be
-    read; preserved: comparable and of the same value. Causes add up to rows.
+    read; preserved: comparable and of the same value. Causes add up to rows. by_value reads columns
+    of few values once a value (see dictionary).
     """
-    both = _cells(roles, bronze, "bronze", "b").join(_cells(roles, silver, "silver", "s"), ORDINAL)
+    both = _cells(roles, bronze, "bronze", "b", by_value).join(_cells(roles, silver, "silver", "s", by_value), ORDINAL)
     cells = []
     for r in roles:
         b, s = (tuple(F.col(f"{side}_{r.name}")[n] for n in "tkrv") for side in "bs")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions import text as fn
+from terrace.operators.dictionary import Group, evaluated
 
 
 def prepared_from_bronze(bronze: DataFrame) -> DataFrame:
@@ -24,6 +25,18 @@ def prepared_from_bronze(bronze: DataFrame) -> DataFrame:
     )
 
 
+def prepared_by_value(bronze: DataFrame, **road) -> DataFrame:
+    """As prepared_from_bronze, with districts, months and areas read once a value where they are few."""
+    groups = [
+        Group(["sggCd"], {"district_code": fn.district_code("sggCd")}),
+        Group(["dealYear", "dealMonth"], {"year_month": fn.year_month_of("dealYear", "dealMonth")}),
+        Group(["excluUseAr"], {"area": fn.to_float(fn.trimmed("excluUseAr"))}),
+        Group(["dealAmount"], {"amount": fn.amount("dealAmount")}),
+    ]
+    read = evaluated(bronze.select(*[c for g in groups for c in g.inputs]), groups, **road)
+    return read.select("district_code", "year_month", fn.price_per_m2("amount", "area").alias("price_per_m2"))
+
+
 def prepared_from_silver(silver: DataFrame) -> DataFrame:
     """As from bronze, out of typed columns; what is used several times comes from a projection of its own."""
     parts = silver.select(fn.trimmed("district_code").alias("code"), F.year("deal_date").alias("year"), F.month("deal_date").alias("month"), "price_10k_krw", "area_m2")

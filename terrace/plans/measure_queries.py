@@ -135,12 +135,17 @@ def role_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("role", "rows", "changed", "comparable", "preserved", *[F.round(c, 12).alias(c) for c in ("change_rate", "coverage", "preservation")])
 
 
-def role_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def role_transitions(spark: SparkSession, sf_dir: str, by_value: bool = False) -> DataFrame:
     """(role, cause, n), without the causes that do not occur."""
-    wide = pairing.pair_and_classify(*_layers(spark, sf_dir))
+    wide = pairing.pair_and_classify(*_layers(spark, sf_dir), by_value=by_value)
     return wide.select("role", F.inline(F.array(*[F.struct(F.lit(c).alias("cause"), F.col(f"`{c}`").alias("n")) for c in pairing.CAUSES]))).filter("n > 0")
 
 
+def role_transitions_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """role_transitions with each different text of a role read once."""
+    return role_transitions(spark, sf_dir, by_value=True)
+
+
 def pair_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pairing.aggregate(pairing.pair_and_classify(*_layers(spark, sf_dir)), required_only=True)
     return found.withColumns({c: F.round(c, 12) for c in ("change_rate", "coverage", "preservation")})
@@ -178,6 +183,7 @@ t AS (
 """
 SQL |= {
     "role_transitions": _ROLES + "SELECT role, cause, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1, 2",
+    "role_transitions_by_value": _ROLES + "SELECT role, cause, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1, 2",
     "role_pairs": _ROLES + """SELECT role, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE cause <> 'unchanged'), 0) AS BIGINT) AS changed, CAST(sum(n) AS BIGINT) AS comparable, CAST(sum(n) AS BIGINT) AS preserved,
  round(coalesce(sum(n) FILTER (WHERE cause <> 'unchanged'), 0) / sum(n), 12) AS change_rate, CAST(1 AS DOUBLE) AS coverage, CAST(1 AS DOUBLE) AS preservation FROM t GROUP BY 1""",
     "pair_aggregate": _ROLES + """SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) FILTER (WHERE cause <> 'unchanged') AS BIGINT) AS changed, CAST(sum(n) AS BIGINT) AS comparable, CAST(sum(n) AS BIGINT) AS preserved,
@@ -364,7 +370,7 @@ SQL |= {
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_semantic, quality_naive, quality_per_column, duplicate_rate, schema_report, role_pairs, role_transitions, pair_aggregate, coalesce_sources, role_projection, row_identity,
+        quality_semantic, quality_naive, quality_per_column, duplicate_rate, schema_report, role_pairs, role_transitions, role_transitions_by_value, pair_aggregate, coalesce_sources, role_projection, row_identity,
         cell_differences, mutation_verdicts, verdict_totals, content_digest, timing_summary, timing_comparison, pivot_by_condition, rq1_pivot, storage_pivot, determinism_report, schedule_mismatches,
         systematic_sample, last_wins_dedupe, month_sequence, json_field_types,
     )

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.functions import text as fn
 from terrace.operators import contract as ct
-from terrace.operators import join_task, price_task
+from terrace.operators import dictionary, join_task, price_task
 from terrace.plans import proxy
 
 
@@ -27,6 +28,11 @@ def t1_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(price_task.gold(price_task.prepared_from_bronze(proxy.trades(spark, sf_dir, names=False))), T1_ROUND)
 
 
+def t1_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 with districts, months and areas parsed once a value."""
+    return _rounded(price_task.gold(price_task.prepared_by_value(proxy.trades(spark, sf_dir, names=False))), T1_ROUND)
+
+
 def t1_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(price_task.gold(price_task.prepared_from_silver(_silver(spark, sf_dir))), T1_ROUND)
 
@@ -53,6 +59,19 @@ def t3_fold_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(join_task.fold(_sales(spark, sf_dir)), {"value": 2})
 
 
+def t3_fold_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folded sales with names brought into normal form once a value."""
+    return _rounded(join_task.fold(join_task.prepared_by_value(proxy.trades(spark, sf_dir), "dealAmount", proxy.EDGES)), {"value": 2})
+
+
+def encoded_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales with their district and month split off as dictionaries: by code, what is read out of the
+    values beside the codes. Codes count the values in their order."""
+    sales = proxy.trades(spark, sf_dir, names=False).select("sggCd", "dealYear", "dealMonth")
+    by = dictionary.encoded(dictionary.encoded(sales, ["sggCd"], "district").rows, ["dealYear", "dealMonth"], "month")
+    return by.read({"year_month": fn.year_month_of("dealYear", "dealMonth")}).groupBy("district", "year_month").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _t3_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_task.gold(join_task.joined(join_task.fold(_sales(spark, sf_dir)), join_task.fold(_jeonse(spark, sf_dir))))
 
@@ -135,6 +154,12 @@ SELECT round(n / (SELECT count(*) FROM s), 12) AS join_matching_rate, (SELECT co
     "t3_invalid_keys": f"WITH {NAMED} SELECT round(avg(CASE WHEN area % 7 = 0 THEN 1 ELSE 0 END), 12) AS invalid_key_rate FROM l WHERE l_linestatus = 'F'",
 }
 
+SQL |= {
+    "t1_by_value": T1_SQL,
+    "t3_fold_by_value": SQL["t3_fold_sales"],
+    "encoded_districts": """WITH l AS (SELECT CAST(s_nationkey AS VARCHAR) AS d, strftime(l_shipdate, '%Y-%m') AS year_month FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linestatus = 'F')
+SELECT CAST(c.code AS INT) AS district, year_month, count(*) AS n FROM l JOIN (SELECT d, row_number() OVER (ORDER BY d) - 1 AS code FROM (SELECT DISTINCT d FROM l)) c USING (d) GROUP BY 1, 2""",
+}
 SQL |= {"t3_gold_silver": SQL["t3_gold"], "t3_analysis_silver": SQL["t3_analysis"]}
 
 
@@ -224,4 +249,4 @@ SELECT 'quantity' AS rule, q AS violations, false AS warned FROM n UNION ALL SEL
 UNION ALL SELECT 'rows', CASE WHEN rows < 100 THEN 100 - rows ELSE 0 END, false FROM n UNION ALL SELECT 'once', CASE WHEN d > rows * 0.01 THEN d ELSE 0 END, true FROM n
 UNION ALL SELECT 'discounted', c, false FROM n""",
 }
-QUERIES = {f.__name__: f for f in (t1_bronze, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_gold_silver, t3_analysis_silver, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}
+QUERIES = {f.__name__: f for f in (t1_bronze, t1_by_value, t3_fold_by_value, encoded_districts, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_gold_silver, t3_analysis_silver, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}
