@@ -50,49 +50,65 @@ def shrinking(df: DataFrame, groups: Sequence[Group], most: int = MOST, shrink:
     return [row[f"n{i}"] <= most and row[f"n{i}"] * shrink <= row["rows"] for i in range(len(groups))]
 
 
-def values_of(df: DataFrame, group: Group) -> DataFrame:
-    """The different (value, type) pairs of a group's inputs, with their keys; nulls are values."""
-    keys = _keys(df, group.inputs)
-    named = df.select(*[k.alias(n) for n, k in zip(_on(0, len(keys)), keys, strict=True)], *[F.col(c) for c in group.inputs])
-    return named.groupBy(*_on(0, len(keys))).agg(*[F.any_value(c).alias(c) for c in group.inputs])
-
-
-def _small(values: DataFrame, inputs: Sequence[str], most: int) -> bool:
-    """Whether a stored dictionary may be broadcast: its own rows and bytes, no longer an estimate."""
+def values_of(df: DataFrame, groups: Sequence[Group]) -> DataFrame:
+    """(__group, and for each group its keys and inputs): the different (value, type) pairs of all groups,
+    null in the columns of the others, by one pass over the source. Nulls are values."""
+    keys = [_keys(df, g.inputs) for g in groups]
+    named = [(n, k) for i, ks in enumerate(keys) for n, k in zip(_on(i, len(ks)), ks, strict=True)]
+    # Of variants any one stands for those of its type and text.
+    table = df.select(*[k.alias(n) for n, k in named], *{c: F.col(c) for g in groups for c in g.inputs}.values())
+    kinds = dict(table.dtypes)
+    each = []
+    for i, g in enumerate(groups):
+        own = {*_on(i, len(keys[i])), *g.inputs}
+        each.append(F.struct(F.lit(i).alias("__group"), *[(F.col(c) if c in own else F.lit(None).cast(kinds[c])).alias(c) for c in table.columns]))
+    inputs = [c for c in table.columns if c not in dict(named)]
+    return table.select(F.inline(F.array(*each))).groupBy("__group", *dict(named)).agg(*[F.any_value(c).alias(c) for c in inputs])
+
+
+def _sizes(values: DataFrame) -> dict[int, tuple[int, int]]:
+    """(rows, bytes) of each group's stored dictionary: no longer an estimate."""
     size = F.lit(0)
     for c, kind in values.dtypes:
-        size = size + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(16))
-    row = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    return row["n"] <= 2 * most and row["bytes"] <= MOST_BYTES
+        size = size + F.when(F.col(c).isNotNull(), F.octet_length(c) if kind in ("string", "binary") else F.lit(16)).otherwise(0)
+    return {r["__group"]: (r["n"], r["bytes"]) for r in values.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()}
+
+
+def _small(size: tuple[int, int], most: int) -> bool:
+    """Whether a dictionary may be broadcast."""
+    return size[0] <= 2 * most and size[1] <= MOST_BYTES
+
+
+def _same(df: DataFrame, number: int, inputs: Sequence[str]) -> Column:
+    """Rows of df and of a dictionary that belong together; nulls are equal."""
+    same, keys = F.lit(True), _keys(df, inputs)
+    for n, key in zip(_on(number, len(keys)), keys, strict=True):
+        same = same & key.eqNullSafe(F.col(n))
+    return same
 
 
 def evaluated(df: DataFrame, groups: Sequence[Group], most: int = MOST, shrink: float = SHRINK, roads: Sequence[bool] | None = None) -> DataFrame:
-    """df without the groups' inputs and with their outputs.
+    """df without the groups' inputs and with their outputs. No input may belong to two groups.
 
     roads says for each group whether to go by its values, for callers who know; else it is measured.
     A group that is sent there and turns out too large to broadcast is joined by shuffle.
     """
     roads = shrinking(df, groups, most, shrink) if roads is None else roads
     gone = {c for g in groups for c in g.inputs}
-    taken, by_row, out = df, {}, []
-    for number, (group, by_value) in enumerate(zip(groups, roads, strict=True)):
-        out += list(group.outputs)
-        if not by_value:
-            by_row |= group.outputs
-            continue
-        values = stored(values_of(df, group), "values")
-        width = len(values.columns) - len(group.inputs)
-        read = values.select(*[F.col(k).alias(n) for k, n in zip(_on(0, width), _on(number + 1, width), strict=True)], *[c.alias(f"__{number}_{n}") for n, c in group.outputs.items()])
-        if _small(values, group.inputs, most):
-            read = F.broadcast(read)
-        same = F.lit(True)
-        for n, key in zip(_on(number + 1, width), _keys(df, group.inputs), strict=True):
-            same = same & key.eqNullSafe(F.col(n))
-        # Every value of the rows is in the dictionary, so an inner join keeps each row once.
-        taken = taken.join(read, same).drop(*_on(number + 1, width))
-        by_row |= {n: F.col(f"__{number}_{n}") for n in group.outputs}
+    taken, read = df, {n: c for g, by_value in zip(groups, roads, strict=True) if not by_value for n, c in g.outputs.items()}
+    few = [g for g, by_value in zip(groups, roads, strict=True) if by_value]
+    if few:
+        values = stored(values_of(df, few), "values")
+        sizes = _sizes(values)
+        for number, group in enumerate(few):
+            keys = [c for c in values.columns if c.startswith(f"__k{number}_")]
+            told = values.filter(F.col("__group") == number).select(*keys, *[c.alias(f"__{number}_{n}") for n, c in group.outputs.items()])
+            told = F.broadcast(told) if _small(sizes.get(number, (0, 0)), most) else told
+            # Every value of the rows is in the dictionary, so an inner join keeps each row once.
+            taken = taken.join(told, _same(df, number, group.inputs)).drop(*keys)
+            read |= {n: F.col(f"__{number}_{n}") for n in group.outputs}
     kept = [c for c in df.columns if c not in gone]
-    return taken.select(*kept, *[by_row[n].alias(n) for n in out])
+    return taken.select(*kept, *[read[n].alias(n) for g in groups for n in g.outputs])
 
 
 @dataclass
@@ -123,14 +139,11 @@ def encoded(df: DataFrame, inputs: Sequence[str], code: str = "code", most: int
     group = Group(inputs)
     if not shrinking(df, [group], most, shrink)[0]:
         return Encoded(df, None, group, code)
-    values = stored(values_of(df, group), "values")
-    if not _small(values, inputs, most):
+    values = stored(values_of(df, [group]), "values")
+    if not _small(_sizes(values).get(0, (0, 0)), most):
         return Encoded(df, None, group, code)
-    width = len(values.columns) - len(inputs)
+    keys = [c for c in values.columns if c.startswith("__k0_")]
     # At most 2 * most rows are numbered in one place.
-    numbered = stored(values.withColumn(code, (F.row_number().over(Window.orderBy(*_on(0, width))) - 1).cast("int")), "codes")
-    same = F.lit(True)
-    for n, key in zip(_on(0, width), _keys(df, inputs), strict=True):
-        same = same & key.eqNullSafe(F.col(n))
-    rows = df.join(F.broadcast(numbered.select(code, *_on(0, width))), same).select(*[c for c in df.columns if c not in inputs], code)
+    numbered = stored(values.withColumn(code, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("int")), "codes")
+    rows = df.join(F.broadcast(numbered.select(code, *keys)), _same(df, 0, inputs)).select(*[c for c in df.columns if c not in inputs], code)
     return Encoded(rows, numbered.select(code, *inputs), group, code)

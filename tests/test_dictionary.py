@@ -55,7 +55,7 @@ def test_values_of_several_types_stay_apart(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join('{"x": %s}' % draw for draw in ["1", "1.0", '"1"', "null", "true"] * 20))
     df = records.read_jsonl(spark, str(tmp_path))
     group = dic.Group(["x"], {"kind": dic.json_kind("x"), "text": dic.json_text("x")})
-    assert dic.values_of(df, group).count() == 5
+    assert dic.values_of(df, [group]).count() == 5
     got = dic.evaluated(df, [group], roads=[True])
     assert rows(got.select("_ordinal", "kind", "text")) == rows(df.select("_ordinal", *[c.alias(n) for n, c in group.outputs.items()]))
 
