@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import fold_of, read, ship_code
@@ -100,16 +100,22 @@ def windows_of(texts: list[bytes], length: int = WINDOW) -> tuple[np.ndarray, np
 
 
 def sample(docs: DataFrame, per_lang: int = 1500, pieces: int = 2) -> list[tuple[str, str]]:
-    """(lang, piece of text) for training: about per_lang documents of each language, chosen by a
-    hash of the id, and up to `pieces` pieces of WINDOW characters of each, spread over its text."""
-    labelled = docs.filter("lang is not null and text is not null and length(text) > 0")
-    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """(lang, piece of text) for training: of each language the at most per_lang different documents with
+    the smallest hashes of id and text, and up to `pieces` pieces of WINDOW characters of each, spread
+    over its text. Rows without an id count like others; a repeated row counts once, so the choice
+    depends neither on partitions nor on how often a row or an id repeats."""
+    labelled = docs.filter("lang is not null and text is not null and length(text) > 0").withColumn("__hash", F.xxhash64(F.lit(7), "doc_id", "text"))
+    # Hashes far beyond the smallest per_lang are left out before any shuffle; twice as many stay as are wanted.
+    share = {r["lang"]: min(1.0, 2 * per_lang / max(r["n"], 1)) for r in labelled.groupBy("lang").agg(F.approx_count_distinct("__hash").alias("n")).collect()}
     if not share:
         return []
     limit = F.create_map(*[x for k, v in sorted(share.items()) for x in (F.lit(k), F.lit(int(v * (1 << 30))))])[F.col("lang")]
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < limit)
-    at = [F.substring(F.col("text"), F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW)) for k in range(pieces)]
-    return sorted((r["lang"], p) for r in chosen.select("lang", F.array(*at).alias("at")).collect() for p in r["at"])
+    near = labelled.filter(F.pmod("__hash", F.lit(1 << 30)) < limit)
+    at = [F.substring(F.col("text"), F.pmod(F.xxhash64(F.lit(k), "__hash"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW)) for k in range(pieces)]
+    once = near.select("lang", "__hash", F.array(*at).alias("at")).groupBy("lang", "__hash").agg(F.any_value("at").alias("at"))
+    first = Window.partitionBy("lang").orderBy(F.pmod("__hash", F.lit(1 << 30)), "__hash")
+    chosen = once.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= per_lang)
+    return sorted((r["lang"], p) for r in chosen.select("lang", "at").collect() for p in r["at"])
 
 
 def train(labelled: list[tuple[str, str]], dim: int = 8, kinds: int = 16, epochs: int = 6, rate: float = 0.01, seed: int = 1) -> ByteNet:
@@ -203,6 +209,7 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network fitted on the training folds alone."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = predict(docs.select("doc_id", "text"), trained_on(docs))
     return judged.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

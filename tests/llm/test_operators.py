@@ -486,3 +486,43 @@ def test_toxicity_trains_on_whole_texts(spark):
     held = frame(spark, [(100, "a scumbag moron"), (101, "a willow meadow")])
     got = {r.doc_id: r.score for r in toxicity.predict(held, scorer).collect()}
     assert got[100] > 0.7 > 0.3 > got[101]
+
+
+def test_samples_do_not_depend_on_ids_or_copies(spark):
+    """Null ids, one id for all, and rows that repeat by the thousand."""
+    words = {"aa": "bona vita sole mare", "bb": "xyl grok trum pfeng"}
+    texts = [(k, f"{w} {i} {w[::-1]}") for k, w in words.items() for i in range(300)]
+    schema = "doc_id bigint, text string, lang string"
+    for ids in (lambda i: None, lambda i: 5, lambda i: i):
+        docs = frame(spark, [(ids(i), t, k) for i, (k, t) in enumerate(texts)] + [(9, "the same again and again", "aa")] * 2000, schema)
+        got = language.sample(docs.repartition(3), per_lang=50)
+        assert collections.Counter(k for k, _ in got) == {"aa": 100, "bb": 100}
+        assert got == language.sample(docs.repartition(7), per_lang=50)
+    assert len(language.sample(frame(spark, [(1, "one text", "aa")] * 3000, schema), per_lang=50)) == 2
+
+    docs = frame(spark, [(1, "you utter fool")] * 10_000 + [(2, f"a fine day {i}") for i in range(3000)] + [(3, None), (None, "unlabelled")])
+    labels = frame(spark, [(1, 1), (2, 0), (2, 0), (3, 1), (None, 1), (4, 7)], "doc_id bigint, toxic int")
+    got = toxicity.sample(docs.repartition(3), labels, per_class=40)
+    assert collections.Counter(t for t, _ in got) == {0: 40, 1: 2}
+    again = toxicity.sample(docs.repartition(8), labels, per_class=40)
+    assert [(t, p.tolist()) for t, p in got] == [(t, p.tolist()) for t, p in again]
+    for few in (labels.limit(0), labels.filter("doc_id = 4")):
+        assert toxicity.sample(docs, few) == []
+    assert toxicity.sample(docs.limit(0), labels) == []
+
+
+def test_toxicity_scores_are_calibrated():
+    """Held-out scores mean what they say where classes weigh alike, and few n-grams win among noise."""
+    draw = random.Random(4)
+    noise = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(4000)]
+    def text(toxic):  # one insult in nine of ten toxic texts, among words of chance
+        words = draw.choices(noise, k=40)
+        return " ".join([*words, "scumbagg"] if toxic and draw.random() < 0.9 else words)
+    rows = [(int(i % 8 == 0), text(i % 8 == 0)) for i in range(1200)]
+    scorer = toxicity.train([(t, toxicity._distinct(x)) for t, x in rows[:800]])
+    scores, y = scorer.score([x for _, x in rows[800:]]), np.array([t for t, _ in rows[800:]])
+    assert (scores[y == 1] >= 0.7).mean() >= 0.8 and (scores[y == 0] < 0.7).mean() >= 0.98
+    x = np.concatenate([np.random.default_rng(1).normal(-3, 2, 20_000), np.random.default_rng(2).normal(3, 2, 20_000)])
+    slope, offset, _ = toxicity._calibrated(x, np.arange(40_000) >= 20_000)
+    # Two normal distributions of variance 4 and means -3 and 3 have log odds of 1.5 x.
+    assert abs(slope - 1.5) < 0.1 and abs(offset) < 0.1

@@ -236,3 +236,14 @@ def test_pipeline_edges(spark, name):
     got = stage(spark, docs, FOLDER)
     assert got.count() <= len(rows) and (name == "byte_bpe" or got.columns == docs.columns)
     assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the test tables are not here")
+def test_op10_on_the_larger_table(spark):
+    """144 held-out toxic texts, where test_op10 has 18. A score is recomputed from its n-grams."""
+    folder = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in result(spark, "op10_toxicity", folder)}
+    held = [(got[i].predicted, t) for i, t in table("labels", "doc_id, toxic", folder) if t in (0, 1) and i in got and got[i].held_out]
+    caught, left = [p for p, t in held if t], [1 - p for p, t in held if not t]
+    print("held-out: caught", sum(caught), len(caught), "left alone", sum(left), len(left))
+    assert sum(caught) >= 0.9 * len(caught) and sum(left) >= 0.97 * len(left)
