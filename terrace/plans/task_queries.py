@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from terrace.functions import text as fn
 from terrace.operators import contract as ct
-from terrace.operators import dictionary, join_task, price_task
+from terrace.operators import dictionary, hash_tree, join_task, price_task
 from terrace.plans import proxy
+from terrace.sources import scratch
 
 
 def _rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
@@ -90,7 +91,10 @@ def t3_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _t3_gold_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = ct.compile_contract(ct.Contract.of(proxy.SALES), proxy.trades(spark, sf_dir)).enforced()
     rents = ct.compile_contract(ct.Contract.of(proxy.RENTS), proxy.rents(spark, sf_dir)).enforced()
-    jeonse = join_task.jeonse_only(rents, "monthly_rent_10k_krw")
+    return _t3_from_silver(sales, join_task.jeonse_only(rents, "monthly_rent_10k_krw"))
+
+
+def _t3_from_silver(sales: DataFrame, jeonse: DataFrame) -> DataFrame:
     sides = [join_task.prepared_from_silver(df, amount, "deal_date", proxy.EDGES) for df, amount in ((sales, "price_10k_krw"), (jeonse, "deposit_10k_krw"))]
     return join_task.gold(join_task.joined(*map(join_task.fold, sides)))
 
@@ -114,6 +118,63 @@ def t3_invalid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(join_task.invalid_key_rate(join_task.prepared_from_bronze(rows, "dealAmount", proxy.EDGES)), {"invalid_key_rate": 12})
 
 
+# ---- the four routes ---------------------------------------------------------------------------
+
+
+def _landed(spark: SparkSession, spec: dict, bronze: DataFrame, name: str) -> DataFrame:
+    """A silver layer, written fail-closed and read again."""
+    return ct.compile_contract(ct.Contract.of(spec), bronze).land(scratch.place(spark, name))
+
+
+def _t1_gold_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return price_task.gold(price_task.prepared_from_silver(_landed(spark, proxy.TRADES, proxy.trades(spark, sf_dir, names=False), "t1_silver")))
+
+
+def t1_route_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 from a stored silver layer."""
+    return _rounded(price_task.analyze(_t1_gold_layer(spark, sf_dir)), T1_ROUND | {"mean_price_yoy_change": 9})
+
+
+def t1_route_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 from a stored gold layer."""
+    return _rounded(price_task.analyze(scratch.stored(_t1_gold_layer(spark, sf_dir), "t1_gold")), T1_ROUND | {"mean_price_yoy_change": 9})
+
+
+def t1_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the four routes of T1 give the same rows."""
+    ways = {"bronze": t1_analysis, "silver": t1_route_silver, "gold": t1_route_gold, "monolithic": t1_analysis_silver}
+    return hash_tree.equivalence([hash_tree.Route("t1", name, way(spark, sf_dir)) for name, way in ways.items()], ["district_code", "year_month"])
+
+
+def _t3_gold_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = _landed(spark, proxy.SALES, proxy.trades(spark, sf_dir), "t3_sales")
+    rents = join_task.jeonse_only(_landed(spark, proxy.RENTS, proxy.rents(spark, sf_dir), "t3_rents"), "monthly_rent_10k_krw")
+    return _t3_from_silver(sales, rents)
+
+
+def t3_route_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 from stored silver layers."""
+    return _rounded(join_task.analyze(_t3_gold_layer(spark, sf_dir)), T3_ROUND | {"jeonse_ratio": 9, "jeonse_ratio_yoy_change": 9})
+
+
+def t3_route_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 from a stored gold layer."""
+    return _rounded(join_task.analyze(scratch.stored(_t3_gold_layer(spark, sf_dir), "t3_gold")), T3_ROUND | {"jeonse_ratio": 9, "jeonse_ratio_yoy_change": 9})
+
+
+def t3_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the four routes of T3 give the same rows."""
+    ways = {"bronze": t3_analysis, "silver": t3_route_silver, "gold": t3_route_gold, "monolithic": t3_analysis_silver}
+    return hash_tree.equivalence([hash_tree.Route("t3", name, way(spark, sf_dir)) for name, way in ways.items()], ["district_code", "year_month"])
+
+
+def t1_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changed mean in every district's May months, found between two routes of T1."""
+    bronze, silver = t1_bronze(spark, sf_dir), t1_silver(spark, sf_dir)
+    planted = silver.withColumn("mean_price_per_m2", F.when(F.col("year_month").endswith("-05"), F.col("mean_price_per_m2") + 1).otherwise(F.col("mean_price_per_m2")))
+    return hash_tree.differences(bronze, planted, ["district_code", "year_month"], rtol=1e-9).select("district_code", "year_month", "column")
+
+
 _LINES = """
 l AS (SELECT lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS district_code, strftime(l_shipdate, '%Y-%m') AS year_month, {name} AS apt_name,
         l_quantity AS area, floor(l_extendedprice) * 10000 / l_quantity AS price, l_linestatus, round(l_discount * 100) AS rent, l_shipdate, l_extendedprice
@@ -160,6 +221,13 @@ SQL |= {
     "encoded_districts": """WITH l AS (SELECT CAST(s_nationkey AS VARCHAR) AS d, strftime(l_shipdate, '%Y-%m') AS year_month FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linestatus = 'F')
 SELECT CAST(c.code AS INT) AS district, year_month, count(*) AS n FROM l JOIN (SELECT d, row_number() OVER (ORDER BY d) - 1 AS code FROM (SELECT DISTINCT d FROM l)) c USING (d) GROUP BY 1, 2""",
 }
+SQL |= {f"{task}_route_{way}": SQL[f"{task}_analysis"] for task in ("t1", "t3") for way in ("silver", "gold")}
+_ROUTES = " SELECT route, (SELECT count(*) FROM g) AS rows, true AS equal, CAST(0 AS BIGINT) AS ranges FROM (SELECT unnest(['bronze', 'silver', 'gold', 'monolithic']) AS route)"
+SQL |= {
+    "t1_routes": T1_GOLD + _ROUTES,
+    "t3_routes": T3_FOLDED + _ROUTES,
+    "t1_difference": T1_GOLD + " SELECT district_code, year_month, 'mean_price_per_m2' AS \"column\" FROM g WHERE year_month LIKE '%-05'",
+}
 SQL |= {"t3_gold_silver": SQL["t3_gold"], "t3_analysis_silver": SQL["t3_analysis"]}
 
 
@@ -249,4 +317,4 @@ SELECT 'quantity' AS rule, q AS violations, false AS warned FROM n UNION ALL SEL
 UNION ALL SELECT 'rows', CASE WHEN rows < 100 THEN 100 - rows ELSE 0 END, false FROM n UNION ALL SELECT 'once', CASE WHEN d > rows * 0.01 THEN d ELSE 0 END, true FROM n
 UNION ALL SELECT 'discounted', c, false FROM n""",
 }
-QUERIES = {f.__name__: f for f in (t1_bronze, t1_by_value, t3_fold_by_value, encoded_districts, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_gold_silver, t3_analysis_silver, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}
+QUERIES = {f.__name__: f for f in (t1_route_silver, t1_route_gold, t1_routes, t3_route_silver, t3_route_gold, t3_routes, t1_difference, t1_bronze, t1_by_value, t3_fold_by_value, encoded_districts, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_gold_silver, t3_analysis_silver, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}
