@@ -84,11 +84,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> list[tu
     A text of any length brings at most 2**BITS places to the driver.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).distinct()
-    marked = docs.join(known, docs["doc_id"] == F.col("__id")).select("__toxic", "__id", F.coalesce("text", F.lit("")).alias("t"))
-    # Chosen by hashes alone: a few bytes a row are sorted, and the limit is kept on the map side.
-    hashed = marked.withColumn("__hash", F.xxhash64(F.lit(11), "__id", "t"))
-    chosen = [hashed.filter(F.col("__toxic") == c).select("__toxic", "__hash").distinct().orderBy("__hash").limit(per_class) for c in (0, 1)]
-    taken = hashed.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["__toxic", "__hash"]).select("__toxic", "__hash", "t")
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("__hash", F.xxhash64(F.lit(11), "doc_id", "t"))
+    # Chosen by id and hash alone, so that no text is shuffled; the limit is kept on the map side.
+    marked = hashed.select("doc_id", "__hash").join(known, F.col("doc_id") == F.col("__id")).select("__toxic", "__hash").distinct()
+    chosen = [marked.filter(F.col("__toxic") == c).orderBy("__hash").limit(per_class) for c in (0, 1)]
+    # At most 2 * per_class rows are broadcast.
+    taken = hashed.join(F.broadcast(chosen[0].unionByName(chosen[1])), "__hash").select("__toxic", "__hash", "t")
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +163,11 @@ def _fits(labelled: list[tuple[int, np.ndarray]], choices: tuple[int, ...], alph
     """(weights, bias) for each number of n-grams to use, from texts of both classes. Of the hashed n-grams
     that at least three texts have, those with the strongest evidence are used."""
     y = np.array([t for t, _ in labelled], bool)
-    rows = np.repeat(np.arange(len(labelled)), [len(places) for _, places in labelled])
-    cols = np.concatenate([places for _, places in labelled], dtype=np.int64)
-    positive = np.bincount(cols[y[rows]], minlength=1 << BITS)
-    total = np.bincount(cols, minlength=1 << BITS)
+    positive, total = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for toxic, places in labelled:  # places of a text differ, so each counts once
+        total[places] += 1
+        if toxic:
+            positive[places] += 1
     p, q = positive / y.sum(), (total - positive) / (~y).sum()
     ratio = np.log((positive + alpha) / (y.sum() + alpha)) - np.log((total - positive + alpha) / ((~y).sum() + alpha))
     evidence = np.where(total >= 3, np.abs(ratio) * np.sqrt(np.maximum(p, q)), 0)
@@ -173,8 +175,8 @@ def _fits(labelled: list[tuple[int, np.ndarray]], choices: tuple[int, ...], alph
     ranked = ranked[evidence[ranked] > 0]
     number = np.full(1 << BITS, -1, np.int64)
     number[ranked] = np.arange(len(ranked))
-    known = number[cols] >= 0
-    rows, cols = rows[known], number[cols[known]]
+    kept = [(number[places])[number[places] >= 0] for _, places in labelled]
+    rows, cols = np.repeat(np.arange(len(labelled)), [len(k) for k in kept]), np.concatenate(kept)
     for features in choices:
         few = cols < features
         weights = np.zeros(1 << BITS, np.float32)
