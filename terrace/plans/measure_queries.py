@@ -11,7 +11,7 @@ from terrace.operators import compare, pairing, quality, reports
 from terrace.operators import roles as ro
 from terrace.operators.contract import Contract, compile_contract
 from terrace.plans.proxy import table
-from terrace.sources import records
+from terrace.sources import records, scratch
 
 # ---- quality -----------------------------------------------------------------------------------
 
@@ -331,6 +331,43 @@ def last_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.last_wins(e, ["user_id"], "event_id")
 
 
+def _csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events as CSV files of the fourth generation, two in UTF-8 and two in the old code page; their folder."""
+    k = F.col("event_id")
+    cells = [F.concat(F.lit("구"), (k % 25).cast("string")), F.when(k % 3 == 0, F.lit('"역 ""가"", 나"')).otherwise("역"), F.date_format("ts", "yyyy-MM"), F.when(k % 5 == 0, "").when(k % 7 == 0, r"\N").otherwise((k % 100).cast("string")), (k % 9).cast("string")]
+    rows = table(spark, sf_dir, "events").select((k % 4).alias("file"), F.lit(1).alias("at"), F.concat_ws(",", *cells).alias("line"))
+    heads = spark.range(4).select(F.col("id").alias("file"), F.lit(0).alias("at"), F.lit(",".join(records.HEADERS["G4"])).alias("line"))
+    dealt = heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "at")
+    place = scratch.place(spark, "csv")
+    with records.code_pages(spark):
+        old = F.encode("line", records.CODE_PAGE)
+        dealt.select("file", F.when(F.col("file") < 2, F.col("line").cast("binary")).otherwise(old).cast("string").alias("value")).write.partitionBy("file").text(place)
+    return place
+
+
+def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes out of files of two encodings: counts by district, empty fields apart from tokens."""
+    rows = records.read_csv(spark, _csv_files(spark, sf_dir), "G4", "*.txt")
+    return rows.groupBy("자치구", "대여소명").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("대여건수") == "").alias("empty"), F.count_if(F.col("대여건수") == r"\N").alias("tokens"), F.sum(F.col("반납건수").cast("int")).alias("returned"))
+
+
+def csv_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, files, and the range of the ordinals and lines that they got."""
+    rows = records.read_csv(spark, _csv_files(spark, sf_dir), "G4", "*.txt")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"), F.count_distinct("_ordinal").alias("ordinals"), F.min("_ordinal").alias("first"), F.max("_ordinal").alias("last"), F.min("line").alias("line"))
+
+
+def controlled_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items re-encoded into row groups of 4,096 rows: by files' footers the rows, the row groups that
+    are neither full nor a file's last, and the codecs; value-equality is proven on the way."""
+    place = scratch.place(spark, "controlled")
+    records.reencode(spark, f"{sf_dir}/lineitem.parquet", place, rows=4096)
+    told = records.footers(spark, place)
+    total = F.aggregate("row_groups", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    odd = F.size(F.filter(F.slice("row_groups", 1, F.greatest(F.size("row_groups") - 1, F.lit(0))), lambda n: n != 4096))
+    return told.agg(F.sum(total).alias("rows"), F.sum(odd).cast("bigint").alias("odd"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("codecs")))), ",").alias("codecs"))
+
+
 def month_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.months(spark, "201911", "202403")
 
@@ -366,12 +403,16 @@ SQL |= {
     "last_wins_dedupe": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "month_sequence": "SELECT strftime(d, '%Y%m') AS month FROM (SELECT unnest(generate_series(DATE '2019-11-01', DATE '2024-03-01', INTERVAL 1 MONTH)) AS d)",
     "json_field_types": _JSON,
+    "csv_ingest": """SELECT '구' || event_id % 25 AS "자치구", CASE WHEN event_id % 3 = 0 THEN '역 "가", 나' ELSE '역' END AS "대여소명", count(*) AS n, count(*) FILTER (WHERE event_id % 5 = 0) AS empty,
+ count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 7 = 0) AS tokens, CAST(sum(event_id % 9) AS BIGINT) AS returned FROM events GROUP BY 1, 2""",
+    "csv_ordinals": "SELECT count(*) AS n, CAST(4 AS BIGINT) AS files, count(*) AS ordinals, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, CAST(0 AS BIGINT) AS line FROM events",
+    "controlled_layer": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS odd, 'ZSTD' AS codecs FROM lineitem",
 }
 QUERIES = {
     f.__name__: f
     for f in (
         quality_semantic, quality_naive, quality_per_column, duplicate_rate, schema_report, role_pairs, role_transitions, role_transitions_by_value, pair_aggregate, coalesce_sources, role_projection, row_identity,
         cell_differences, mutation_verdicts, verdict_totals, content_digest, timing_summary, timing_comparison, pivot_by_condition, rq1_pivot, storage_pivot, determinism_report, schedule_mismatches,
-        systematic_sample, last_wins_dedupe, month_sequence, json_field_types,
+        systematic_sample, last_wins_dedupe, month_sequence, json_field_types, csv_ingest, csv_ordinals, controlled_layer,
     )
 }

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import sys
+import contextlib
+import fnmatch
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.json_types import digits, json_text, native_type, spelt, type_bit, types_in
+from terrace.operators.hash_tree import differing, tree
 
 ORDINAL = "_ordinal"
-#: The reader's functions travel with the plan, so that executors need no installation.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Headers of the bike sources by generation, column by column.
 _BIKE = ("대여소번호", "대여소명", "대여구분코드", "성별", "연령대코드", "이용건수", "운동량", "탄소량")
@@ -124,8 +120,8 @@ def as_declared(records: DataFrame, types: Mapping[str, Sequence[str]], digits:
     return records.select(*out)
 
 
-#: Rows of a row group and the codec of controlled files.
-ROW_GROUP, CODEC = 131_072, "ZSTD"
+#: Rows of a row group, the codec and its level of controlled files.
+ROW_GROUP, CODEC, LEVEL = 131_072, "ZSTD", 3
 
 
 def land(records: DataFrame, path: str, level: int = 3, read_as: Mapping[str, str] | None = None) -> None:
@@ -135,65 +131,48 @@ def land(records: DataFrame, path: str, level: int = 3, read_as: Mapping[str, st
     records.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
 
-def land_controlled(df: DataFrame, path: str, rows: int = ROW_GROUP) -> None:
-    """Writes a layer whose size can be compared with another's: zstd, row groups of exactly `rows` rows
-    but for the last of a file. Spark closes row groups by bytes, so pyarrow writes the files, on
-    the executors, a partition each; the folder must be one that all machines share."""
-    import uuid
-    from pathlib import Path
-
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyspark import TaskContext
-
-    folder = path.removeprefix("file://")
-    if Path(folder).exists():
-        raise FileExistsError(path)
-    Path(folder).mkdir(parents=True)
-    token = uuid.uuid4().hex
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A second attempt at a partition writes the same file anew and takes the place of the first.
-        name, writer, held, n, written = f"part-{TaskContext.get().partitionId():05d}-{token}.parquet", None, [], 0, 0
-        hidden = Path(folder) / f".{name}.{TaskContext.get().taskAttemptId()}"
-        for batch in batches:
-            writer = writer or pq.ParquetWriter(hidden, batch.schema, compression=CODEC)
-            held.append(batch)
-            n += batch.num_rows
-            while n >= rows:
-                table = pa.Table.from_batches(held)
-                writer.write_table(table.slice(0, rows), row_group_size=rows)
-                held, n, written = table.slice(rows).to_batches(), n - rows, written + rows
-        if writer:
-            if n:
-                writer.write_table(pa.Table.from_batches(held), row_group_size=rows)
-            writer.close()
-            hidden.rename(Path(folder) / name)
-        yield pa.RecordBatch.from_pydict({"rows": [written + n]}, schema=pa.schema([("rows", pa.int64())]))
-
-    df.mapInArrow(write, "rows bigint").agg(F.sum("rows")).first()
-
-
-def footers(path: str) -> list[dict]:
-    """What the files of a layer say of themselves: file, codecs, rows of each row group, writer."""
-    from pathlib import Path
-
-    import pyarrow.parquet as pq
-
-    root, found = Path(path.removeprefix("file://")), []
-    for file in sorted(root.rglob("*.parquet")) if root.is_dir() else [root]:
-        meta = pq.ParquetFile(file).metadata
-        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
-        codecs = {g.column(c).compression for g in groups for c in range(g.num_columns)}
-        found.append({"file": file.name, "codecs": sorted(codecs), "row_groups": [g.num_rows for g in groups], "writer": meta.created_by})
-    return found
-
-
-def control_problems(layers: Mapping[str, str], rows: int = ROW_GROUP, codec: str = CODEC) -> list[str]:
+def land_controlled(df: DataFrame, path: str, rows: int = ROW_GROUP, most_bytes: int = 1 << 30) -> None:
+    """Writes a layer whose size can be compared with another's: zstd of one level, row groups of exactly
+    `rows` rows but for the last of a file. Spark's own writer closes a row group at a number of rows;
+    its limit by bytes is set out of the way, since rows of most_bytes / rows each are not expected."""
+    options = {"compression": CODEC.lower(), "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.block.row.count.limit": str(rows), "parquet.block.size": str(most_bytes)}
+    df.write.mode("errorifexists").options(**options).parquet(path)
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of all files below a folder of any file system. Spark's readers pass empty files over."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen()))
+    return sorted(found)
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, codecs, row_groups, writer): what the files of a layer say of themselves, on any file
+    system. Only footers are read: a few kB a file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name, _ in _listed(spark, path):
+        if not name.endswith(".parquet"):
+            continue
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf))
+        try:
+            meta = reader.getFooter()
+            blocks = list(meta.getBlocks())
+            codecs = sorted({c.getCodec().toString() for b in blocks for c in b.getColumns()})
+            found.append((name.rsplit("/", 1)[-1], codecs, [b.getRowCount() for b in blocks], meta.getFileMetaData().getCreatedBy()))
+        finally:
+            reader.close()
+    return spark.createDataFrame(sorted(found), "file string, codecs array<string>, row_groups array<bigint>, writer string")
+
+
+def control_problems(spark: SparkSession, layers: Mapping[str, str], rows: int = ROW_GROUP, codec: str = CODEC) -> list[str]:
     """Why the files of layers (name -> path) cannot be compared by size; empty if they can."""
     problems, writers = [], set()
     for name, path in layers.items():
-        told = footers(path)
+        told = footers(spark, path).collect()
         if not told:
             problems.append(f"{name}: no file")
         for f in told:
@@ -207,14 +186,14 @@ def control_problems(layers: Mapping[str, str], rows: int = ROW_GROUP, codec: st
     return problems
 
 
-def reencode(spark: SparkSession, source: str, target: str) -> int:
-    """Rewrites a layer as a controlled one and makes sure that the same rows come out; their number."""
+def reencode(spark: SparkSession, source: str, target: str, rows: int = ROW_GROUP) -> int:
+    """Rewrites a layer as a controlled one and proves that the same rows came out; their number. Either
+    side is read once for its digests, and nothing but digests is shuffled."""
     before = spark.read.parquet(source)
-    land_controlled(before, target)
+    land_controlled(before, target, rows)
     after = spark.read.schema(before.schema).parquet(target)
-    lost, gained = before.exceptAll(after).limit(1).count(), after.exceptAll(before).limit(1).count()
-    if lost or gained:
-        raise ValueError(f"{target} does not hold the rows of {source}")
+    if bad := differing(tree(before, ()), tree(after, ())).filter("level = 0").first():
+        raise ValueError(f"{target} does not hold the rows of {source}: {bad['rows_b']} rows, {bad['rows_a']} before")
     return after.count()
 
 
@@ -226,40 +205,85 @@ def classify(header: Sequence[str]) -> str:
     raise ValueError(f"unknown header {list(header)}")
 
 
-def decode(data: bytes) -> str:
-    """UTF-8, with or without a mark, else the Korean code page; the order matters, since the latter
-    reads almost anything."""
-    for name in ("utf-8-sig", "cp949"):
-        try:
-            return data.decode(name)
-        except UnicodeDecodeError:
-            continue
-    raise ValueError("neither UTF-8 nor cp949")
+#: Fixed value: the code page of files that are not UTF-8, by Java's name.
+CODE_PAGE = "x-windows-949"
+
+
+@contextlib.contextmanager
+def code_pages(spark: SparkSession) -> Iterator[None]:
+    """Lets expressions made inside name Java's code pages."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _raw_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(value, file, start, id): lines as the bytes that they are, cut at line ends by any number of tasks;
+    start is the place in its file of the piece that a line was read with, id grows along a piece."""
+    source = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    return source.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+
 
+def read_csv(spark: SparkSession, path: str, generation: str, glob: str = "*.csv") -> DataFrame:
+    """Rows of all CSV files of a generation below a folder, all text, with file, line and _ordinal.
 
-def read_csv(spark: SparkSession, path: str, generation: str) -> DataFrame:
-    """Rows of all CSV files of a generation below a folder, all text, with file and line.
+    A file is UTF-8 if all its lines are, else of the Korean code page, which reads almost anything; what it
+    cannot read is an error. That takes one pass that settles each file's encoding; then all pieces
+    of all files are read side by side, so no file has to fit anywhere. Empty fields stay empty text.
 
-    A whole file is decoded at once since its encoding is known only from all of its bytes, so a
-    file is the unit of work. Spark's own reader would turn empty fields into nulls. Rows of another
-    width than the header, and headers of another generation, are errors; blank rows are skipped.
+    line counts from 0 behind the header; _ordinal numbers the rows in the order of files and lines.
+    Headers of another generation, empty files, rows of another width than the header, and quotes that
+    do not close on their line are errors; blank lines are skipped. Fields may be quoted, with quotes
+    doubled inside.
     """
     header = HEADERS[generation]
-    schema = "file string, line bigint, " + ", ".join(f"`{c}` string" for c in header)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = csv.reader(io.StringIO(decode(content), newline=""))
-                if classify(next(rows, ())) != generation:
-                    raise ValueError(f"{name} is not of generation {generation}")
-                kept = [(name, i, *r) for i, r in enumerate(rows) if r]
-                if bad := next((r for r in kept if len(r) != len(header) + 2), None):
-                    raise ValueError(f"{name}, row {bad[1]}: {len(bad) - 2} fields, not {len(header)}")
-                yield pd.DataFrame(kept, columns=["file", "line", *header])
-
-    return files.mapInPandas(parse, schema)
+    if empty := [name for name, size in _listed(spark, path) if not size and fnmatch.fnmatch(name.rsplit("/", 1)[-1], glob)]:
+        raise ValueError(f"{empty[0]} is empty: it is not of generation {generation}")
+    raw = _raw_lines(spark, path, glob)
+    # One row a piece: its first id, and whether the whole file is UTF-8.
+    whole_file = Window.partitionBy("file")
+    pieces = raw.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    earlier = whole_file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("file", "start", "first", F.bool_and("utf8").over(whole_file).alias("utf8"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    with code_pages(spark):
+        text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), CODE_PAGE))
+        lines = raw.join(pieces, ["file", "start"]).select("file", "start", "id", (F.col("before") + F.col("id") - F.col("first") - 1).alias("line"), text.alias("text"))
+    fields = lines.select("file", "start", "id", "line", "text", _fields(F.regexp_replace("text", "^\uFEFF", "")).alias("fields"))
+    where = F.concat(F.col("file"), F.lit(", line "), F.col("line").cast("string"))
+    stop = lambda *why: F.raise_error(F.concat(where, F.lit(": "), *why)).cast("boolean")
+    kept = (
+        F.when(F.col("line") < 0, F.when(F.col("fields").eqNullSafe(F.array(*map(F.lit, header))), False).otherwise(stop(F.lit(f"not of generation {generation}"))))
+        .when(F.col("text") == "", False)
+        .when(F.col("fields").isNull(), stop(F.lit("quotes do not close")))
+        .when(F.size("fields") != len(header), stop(F.size("fields").cast("string"), F.lit(f" fields, not {len(header)}")))
+        .otherwise(True)
+    )
+    rows = fields.filter(kept).select("file", "start", "id", "line", *[F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(header)])
+    # Rows are numbered within their piece, behind those of the pieces before it: one row a piece is in one place.
+    counted = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    starts = counted.select("file", "start", (F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "start").orderBy("id")) - 1
+    return rows.withColumn("place", place).join(starts, ["file", "start"]).select("file", "line", (F.col("before") + F.col("place")).alias(ORDINAL), *header)
+
+
+def _fields(line: Column) -> Column:
+    """The fields of a CSV line; null where its quotes do not close."""
+    field = '"(?:[^"]|"")*+"|[^",][^,]*+|'
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(f"({field}),"), F.lit(1))
+    bare = F.transform(found, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.when(~F.contains(line, F.lit('"')), F.split(line, ",", -1)).when(line.rlike(f"^(?:(?:{field}),)*+(?:{field})$"), bare)
+
+
+def land_jsonl(df: DataFrame, path: str, ordinal: str = ORDINAL) -> None:
+    """Writes a frame as JSON lines in the order of its ordinal, which is not written: files by name hold
+    ascending rows. Nulls are written as null, so that every record has every key."""
+    ordered = df.repartitionByRange(ordinal).sortWithinPartitions(ordinal)
+    record = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != ordinal]), {"ignoreNullFields": "false"})
+    ordered.select(record.alias("value")).write.mode("errorifexists").text(path)
 
 
 def systematic_sample(df: DataFrame, total: int, most: int, up: bool = True) -> DataFrame:

@@ -137,17 +137,6 @@ def test_jsonl_keeps_types_and_order(spark, tmp_path):
     assert store.load("e", "bronze").count() == 3
 
 
-def test_csv_in_the_old_code_page(spark, tmp_path):
-    header = ",".join(records.HEADERS["G4"])
-    (tmp_path / "a.csv").write_bytes((header + "\n강남구,역,2020-01,1,\n\n").encode("cp949"))
-    (tmp_path / "b.csv").write_bytes((header + "\n강남구,역,2020-01,\\N,2\n").encode("utf-8-sig"))
-    rows = records.read_csv(spark, str(tmp_path), "G4").collect()
-    assert sorted((r["자치구"], r["대여건수"], r["반납건수"]) for r in rows) == [("강남구", "1", ""), ("강남구", "\\N", "2")]
-    assert records.classify(records.HEADERS["G1"]) == "G1"
-    with pytest.raises(ValueError):
-        records.classify(("a",))
-
-
 def test_samples_and_months(spark):
     df = spark.range(10).withColumnRenamed("id", "_ordinal")
     assert [r[0] for r in records.systematic_sample(df, 10, 3).orderBy("_ordinal").collect()] == [0, 4, 8]
