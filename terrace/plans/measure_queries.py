@@ -11,7 +11,7 @@ from terrace.operators import compare, pairing, quality, reports
 from terrace.operators import roles as ro
 from terrace.operators.contract import Contract, compile_contract
 from terrace.plans.proxy import table
-from terrace.sources import records, scratch
+from terrace.sources import layout, records, scratch
 
 # ---- quality -----------------------------------------------------------------------------------
 
@@ -135,6 +135,17 @@ def role_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("role", "rows", "changed", "comparable", "preserved", *[F.round(c, 12).alias(c) for c in ("change_rate", "coverage", "preservation")])
 
 
+def role_pairs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """role_pairs over layers landed in buckets by ordinal: paired where they lie."""
+    bronze, silver, roles = _layers(spark, sf_dir)
+    landed = []
+    for name, df in (("bronze", bronze), ("silver", silver)):
+        place = scratch.place(spark, name)
+        landed.append(layout.land_bucketed(df, place.rsplit("/", 1)[-1].replace("-", "_"), place, 8))
+    found = pairing.rates(pairing.pair_and_classify(*landed, roles))
+    return found.select("role", "rows", "changed", "comparable", "preserved", *[F.round(c, 12).alias(c) for c in ("change_rate", "coverage", "preservation")])
+
+
 def role_transitions(spark: SparkSession, sf_dir: str, by_value: bool = False) -> DataFrame:
     """(role, cause, n), without the causes that do not occur."""
     wide = pairing.pair_and_classify(*_layers(spark, sf_dir), by_value=by_value)
@@ -183,6 +194,8 @@ t AS (
 """
 SQL |= {
     "role_transitions": _ROLES + "SELECT role, cause, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1, 2",
+    "role_pairs_bucketed": _ROLES + """SELECT role, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE cause <> 'unchanged'), 0) AS BIGINT) AS changed, CAST(sum(n) AS BIGINT) AS comparable, CAST(sum(n) AS BIGINT) AS preserved,
+ round(coalesce(sum(n) FILTER (WHERE cause <> 'unchanged'), 0) / sum(n), 12) AS change_rate, CAST(1 AS DOUBLE) AS coverage, CAST(1 AS DOUBLE) AS preservation FROM t GROUP BY 1""",
     "role_transitions_by_value": _ROLES + "SELECT role, cause, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1, 2",
     "role_pairs": _ROLES + """SELECT role, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE cause <> 'unchanged'), 0) AS BIGINT) AS changed, CAST(sum(n) AS BIGINT) AS comparable, CAST(sum(n) AS BIGINT) AS preserved,
  round(coalesce(sum(n) FILTER (WHERE cause <> 'unchanged'), 0) / sum(n), 12) AS change_rate, CAST(1 AS DOUBLE) AS coverage, CAST(1 AS DOUBLE) AS preservation FROM t GROUP BY 1""",
@@ -288,6 +301,28 @@ def storage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(reports.storage_table(sizes), 12)
 
 
+def sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timings landed in total order (task, condition along the layers, round, time) and read again with their positions."""
+    t = _timings(spark, sf_dir).select("task", "condition", "round", F.col("seconds").alias("seconds"))
+    place = scratch.place(spark, "sorted")
+    layout.land_sorted(t, place, ["task", "condition", "round", "seconds"], layout.ORDERS)
+    return layout.positioned(spark, place, "position").withColumn("seconds", F.round("seconds", 9))
+
+
+def sorted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that break the order: of a layer landed in order none, of the same rows landed as they come many."""
+    t = _timings(spark, sf_dir).select("task", "condition", "round")
+    keys, found = ["task", "condition", "round"], []
+    for name in ("ordered", "as_it_comes"):
+        place = scratch.place(spark, name)
+        if name == "ordered":
+            layout.land_sorted(t, place, keys, layout.ORDERS)
+        else:
+            t.repartition(3).write.parquet(place)
+        found.append(layout.order_breaks(spark, place, keys, layout.ORDERS).agg(F.lit(name).alias("layer"), (F.count(F.lit(1)) > 0).alias("broken")))
+    return found[0].unionByName(found[1])
+
+
 def determinism_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -305,6 +340,8 @@ _T = """WITH t AS (SELECT event_type AS task, event_id % 3 = 0 AS warmup, CASE W
 """
 SQL |= {
     "timing_summary": _T + "SELECT task, count(*) AS n, round(median(seconds), 6) AS median, round(quantile_cont(seconds, 0.25), 6) AS q1, round(quantile_cont(seconds, 0.75), 6) AS q3, round(min(seconds), 6) AS min, round(max(seconds), 6) AS max, round(quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25), 6) AS iqr FROM t WHERE NOT warmup GROUP BY 1",
+    "sorted_results": _T + """SELECT row_number() OVER (ORDER BY task, list_position(['bronze', 'silver', 'gold', 'monolithic'], condition), round, seconds) - 1 AS position, task, condition, round, round(seconds, 9) AS seconds FROM t""",
+    "sorted_breaks": "SELECT 'ordered' AS layer, count(*) < 0 AS broken FROM events UNION ALL SELECT 'as_it_comes', count(*) > 3 FROM events",
     "timing_comparison": _T + """SELECT 'task' || (a.round % 3) AS task, count(*) AS pairs, round(median(b.seconds / a.seconds), 6) AS ratio, round(median(b.seconds - a.seconds), 6) AS delta, round(median(b.seconds) / median(a.seconds), 6) AS ratio_of_medians
 FROM t a JOIN t b ON a.round = b.round AND a.strategy = 'materialized' AND b.strategy = 'monolithic' GROUP BY 1""",
     "pivot_by_condition": _T + "SELECT task, " + ", ".join(f"round(avg(seconds) FILTER (WHERE condition = '{c}'), 6) AS {c}" for c in reports.CONDITIONS) + " FROM t GROUP BY 1",
@@ -413,6 +450,6 @@ QUERIES = {
     for f in (
         quality_semantic, quality_naive, quality_per_column, duplicate_rate, schema_report, role_pairs, role_transitions, role_transitions_by_value, pair_aggregate, coalesce_sources, role_projection, row_identity,
         cell_differences, mutation_verdicts, verdict_totals, content_digest, timing_summary, timing_comparison, pivot_by_condition, rq1_pivot, storage_pivot, determinism_report, schedule_mismatches,
-        systematic_sample, last_wins_dedupe, month_sequence, json_field_types, csv_ingest, csv_ordinals, controlled_layer,
+        systematic_sample, last_wins_dedupe, month_sequence, json_field_types, csv_ingest, csv_ordinals, sorted_results, sorted_breaks, role_pairs_bucketed, controlled_layer,
     )
 }
