@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import json_types
 from terrace.functions import text as fn
-from terrace.operators import compare, pairing, quality, reports
+from terrace.operators import compare, pairing, quality, reports, verdict_sets
 from terrace.operators import roles as ro
 from terrace.operators.contract import Contract, compile_contract
 from terrace.plans.proxy import table
@@ -234,6 +234,63 @@ def verdict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.verdict_totals(seen.withColumn("verdict", compare.verdict(F.col("kind"), F.col("observed"))))
 
 
+def _mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mutation an order: its kind, what was observed, its verdict and the stage that failed."""
+    k = F.col("o_orderkey")
+    seen = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("M"), F.lpad(k.cast("string"), 9, "0")).alias("mutation"),
+        F.col("o_orderstatus").alias("dataset"),
+        F.when(k % 2 == 0, "P").otherwise("B").alias("kind"),
+        (k % 50).alias("n_cells_mutated"),
+        compare.observed_class(k % 3 != 0, k % 5 != 0, k % 7 == 0).alias("observed"),
+        F.when(k % 3 == 0, "casts").alias("failure_stage"),
+    )
+    return seen.withColumn("verdict", compare.verdict(F.col("kind"), F.col("observed")))
+
+
+def _silent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breaking mutations that are known to pass, with their class."""
+    k = F.col("o_orderkey")
+    passing = table(spark, sf_dir, "orders").filter((k % 2 == 1) & (k % 3 != 0))
+    return passing.select(F.concat(F.lit("M"), F.lpad(k.cast("string"), 9, "0")).alias("mutation"), F.when(k % 4 == 1, verdict_sets.CLASSES[1]).otherwise(verdict_sets.CLASSES[2]).alias("contract_class"))
+
+
+def classify_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaking mutations by class, in the order of the report, with a total."""
+    return verdict_sets.by_class(verdict_sets.classified(_mutations(spark, sf_dir), _silent_classes(spark, sf_dir)))
+
+
+def appendix_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mutation with its observation and, for breaking ones, its class."""
+    mutations = _mutations(spark, sf_dir)
+    return verdict_sets.appendix(mutations, verdict_sets.classified(mutations, _silent_classes(spark, sf_dir)))
+
+
+def break_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of mutations as bitmaps: rejected ones, those with a warning, those of many cells, side by side."""
+    mutations = _mutations(spark, sf_dir)
+    named = mutations.join(verdict_sets.numbered(mutations), "mutation")
+    groups = [("rejected", F.col("observed") == "reject"), ("warned", F.endswith("observed", F.lit("_warn"))), ("many", F.col("n_cells_mutated") >= 40)]
+    rows = named.select("number", F.explode(F.array_compact(F.array(*[F.when(of, g) for g, of in groups]))).alias("group"))
+    return verdict_sets.overlaps(verdict_sets.bitmaps(rows, ["group"]), "group")
+
+
+def preparation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of tasks, one an order priority and condition, and whether they agree with silver."""
+    k = F.col("o_orderkey")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("task"), F.element_at(F.array(*map(F.lit, reports.CONDITIONS)), (k % 4 + 1).cast("int")).alias("condition"))
+    counted = runs.groupBy("task", "condition").agg(F.count(F.lit(1)).alias("rows"))
+    digest = F.sha2(F.concat("task", F.when(F.col("condition") == "gold", "x").otherwise("")), 256)
+    return verdict_sets.preparation(counted.withColumn("output_hash", digest))
+
+
+def source_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a source that a contract took or refused."""
+    k = F.col("c_custkey")
+    runs = table(spark, sf_dir, "customer").select(F.concat(F.lit("G"), (k % 5 + 1).cast("string"), F.lit("-"), k.cast("string")).alias("generation"), (k * 7).alias("rows_in"), F.when(k % 3 == 0, "failed").otherwise("ok").alias("status"), F.when(k % 3 == 0, "casts").alias("failed_stage"), F.when(k % 3 != 0, k * 7).alias("rows_out"), F.sha2(k.cast("string"), 256).alias("config_hash"))
+    return verdict_sets.source_evolution(runs)
+
+
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table's digest equals that of the same rows dealt out anew: true, with the row count."""
     o = table(spark, sf_dir, "orders")
@@ -241,6 +298,12 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("rows") == F.col("rows_b")).select("rows", (F.col("digest") == F.col("digest_b")).alias("same"))
 
 
+_MUTATIONS = """WITH s AS (SELECT 'M' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS mutation, o_orderstatus AS dataset, o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'P' ELSE 'B' END AS kind, o_orderkey % 50 AS n_cells_mutated,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'reject' ELSE (CASE WHEN o_orderkey % 5 <> 0 THEN 'accept_equiv' ELSE 'accept_nonequiv' END) || (CASE WHEN o_orderkey % 7 = 0 THEN '_warn' ELSE '' END) END AS observed FROM orders),
+c AS (SELECT *, CASE WHEN kind = 'B' THEN CASE WHEN k % 3 = 0 THEN 'declared_or_covered' WHEN k % 4 = 1 THEN 'undeclared_but_expressible' ELSE 'not_expressible' END END AS class FROM s),
+f AS (SELECT unnest(['rejected', 'warned', 'many']) AS g),
+m AS (SELECT g, mutation FROM s, f WHERE CASE g WHEN 'rejected' THEN observed = 'reject' WHEN 'warned' THEN observed LIKE '%!_warn' ESCAPE '!' ELSE n_cells_mutated >= 40 END)
+"""
 _SEEN = """WITH s AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'P' ELSE 'B' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'reject' ELSE
  (CASE WHEN o_orderkey % 5 <> 0 THEN 'accept_equiv' ELSE 'accept_nonequiv' END) || (CASE WHEN o_orderkey % 7 = 0 THEN '_warn' ELSE '' END) END AS observed FROM orders),
 v AS (SELECT *, CASE WHEN kind = 'P' THEN CASE WHEN observed = 'reject' THEN 'false_reject' WHEN observed LIKE 'accept!_equiv%' ESCAPE '!' THEN 'correct_accept' ELSE 'silent_corruption' END
@@ -250,6 +313,16 @@ SQL |= {
     "cell_differences": """SELECT 'o_totalprice' AS "column", count(*) FILTER (WHERE o_orderkey % 29 = 0) AS cells FROM orders UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE o_orderkey % 31 = 0) FROM orders
 UNION ALL SELECT unnest(['o_custkey', 'o_orderstatus', 'o_orderdate']), 0""",
     "mutation_verdicts": _SEEN + "SELECT kind, observed, verdict, count(*) AS n FROM v GROUP BY ALL",
+    "classify_breaks": _MUTATIONS + """SELECT CAST(place AS INT) AS place, contract_class, count(class) AS mutations, count(*) FILTER (WHERE k % 3 = 0) AS rejected, count(*) FILTER (WHERE k % 3 <> 0) AS silent_pass
+FROM (VALUES (0, 'declared_or_covered'), (1, 'undeclared_but_expressible'), (2, 'not_expressible'), (3, 'total')) AS r(place, contract_class) LEFT JOIN c ON class = contract_class OR (contract_class = 'total' AND class IS NOT NULL) GROUP BY 1, 2""",
+    "appendix_perturbation": _MUTATIONS + """SELECT mutation, dataset, kind, n_cells_mutated, observed, CASE WHEN kind = 'P' THEN CASE WHEN observed = 'reject' THEN 'false_reject' WHEN observed LIKE 'accept!_equiv%' ESCAPE '!' THEN 'correct_accept' ELSE 'silent_corruption' END
+ ELSE CASE WHEN observed = 'reject' THEN 'correct_reject' WHEN observed LIKE '%!_warn' ESCAPE '!' THEN 'warned' ELSE 'false_accept' END END AS verdict, CASE WHEN k % 3 = 0 THEN 'casts' ELSE '—' END AS failure_stage, coalesce(class, '—') AS contract_class FROM c""",
+    "break_sets": _MUTATIONS + """, p AS (SELECT x.g AS a, y.g AS b FROM f x JOIN f y ON x.g < y.g)
+SELECT a, b, (SELECT count(*) FROM m WHERE g = a) AS n_a, (SELECT count(*) FROM m WHERE g = b) AS n_b, (SELECT count(*) FROM m x JOIN m y USING (mutation) WHERE x.g = a AND y.g = b) AS both,
+ (SELECT count(*) FROM m x WHERE x.g = a AND mutation NOT IN (SELECT mutation FROM m y WHERE y.g = b)) AS only_a, (SELECT count(*) FROM m x WHERE x.g = b AND mutation NOT IN (SELECT mutation FROM m y WHERE y.g = a)) AS only_b FROM p""",
+    "preparation_report": """WITH r AS (SELECT o_orderpriority AS task, ['bronze', 'silver', 'gold', 'monolithic'][o_orderkey % 4 + 1] AS condition, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT task, condition, n AS prepared_rows, left(sha256(task || CASE WHEN condition = 'gold' THEN 'x' ELSE '' END), 12) AS output_hash, CASE WHEN condition = 'gold' OR NOT EXISTS (SELECT 1 FROM r s WHERE s.task = r.task AND s.condition = 'silver') THEN 'FAIL' ELSE 'PASS' END AS equivalence FROM r""",
+    "source_evolution": "SELECT 'G' || (c_custkey % 5 + 1) || '-' || c_custkey AS generation, c_custkey * 7 AS rows_in, CASE WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS result, CASE WHEN c_custkey % 3 = 0 THEN 'casts' ELSE '—' END AS failed_stage, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 7 END AS rows_out, left(sha256(CAST(c_custkey AS VARCHAR)), 12) AS config_hash FROM customer",
     "verdict_totals": _SEEN + "SELECT kind, count(*) AS n, count(*) FILTER (WHERE observed = 'reject') AS rejected, count(*) FILTER (WHERE observed LIKE 'accept%') AS accepted, count(*) FILTER (WHERE verdict LIKE 'correct%') AS correct FROM v GROUP BY ROLLUP (kind)",
     "content_digest": "SELECT count(*) AS rows, true AS same FROM orders",
 }
@@ -406,7 +479,9 @@ def controlled_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def month_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.months(spark, "201911", "202403")
+    """The months from the first event to the last, those without an event too."""
+    first, last = table(spark, sf_dir, "events").agg(F.date_format(F.min("ts"), "yyyyMM"), F.date_format(F.max("ts"), "yyyyMM")).first()
+    return records.months(spark, first, last)
 
 
 #: JSON literals that one column may hold, by the order key: number, text, float, null and others.
@@ -438,7 +513,7 @@ SELECT *, CASE types WHEN 'int' THEN CASE WHEN digits <= 18 THEN 'bigint' WHEN d
 SQL |= {
     "systematic_sample": "WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id AS _ordinal, event_type FROM events, n WHERE event_id % CAST(greatest(1, ceil(n / 500)) AS BIGINT) = 0",
     "last_wins_dedupe": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
-    "month_sequence": "SELECT strftime(d, '%Y%m') AS month FROM (SELECT unnest(generate_series(DATE '2019-11-01', DATE '2024-03-01', INTERVAL 1 MONTH)) AS d)",
+    "month_sequence": "SELECT strftime(d, '%Y%m') AS month FROM (SELECT unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), INTERVAL 1 MONTH)) AS d FROM events)",
     "json_field_types": _JSON,
     "csv_ingest": """SELECT '구' || event_id % 25 AS "자치구", CASE WHEN event_id % 3 = 0 THEN '역 "가", 나' ELSE '역' END AS "대여소명", count(*) AS n, count(*) FILTER (WHERE event_id % 5 = 0) AS empty,
  count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 7 = 0) AS tokens, CAST(sum(event_id % 9) AS BIGINT) AS returned FROM events GROUP BY 1, 2""",
@@ -449,7 +524,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_semantic, quality_naive, quality_per_column, duplicate_rate, schema_report, role_pairs, role_transitions, role_transitions_by_value, pair_aggregate, coalesce_sources, role_projection, row_identity,
-        cell_differences, mutation_verdicts, verdict_totals, content_digest, timing_summary, timing_comparison, pivot_by_condition, rq1_pivot, storage_pivot, determinism_report, schedule_mismatches,
+        cell_differences, classify_breaks, appendix_perturbation, break_sets, preparation_report, source_evolution, mutation_verdicts, verdict_totals, content_digest, timing_summary, timing_comparison, pivot_by_condition, rq1_pivot, storage_pivot, determinism_report, schedule_mismatches,
         systematic_sample, last_wins_dedupe, month_sequence, json_field_types, csv_ingest, csv_ordinals, sorted_results, sorted_breaks, role_pairs_bucketed, controlled_layer,
     )
 }
