@@ -247,6 +247,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item: words, words hit, and the items found."""
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.coalesce(m["item_id"].cast("string"), F.lit("")))))
     covered = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["end"] - 1))))

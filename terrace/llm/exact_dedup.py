@@ -73,6 +73,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts and whether it stays."""
     from terrace.llm.shared import read
 
     return duplicate_groups(read(spark, sf_dir, "documents"))

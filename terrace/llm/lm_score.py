@@ -230,5 +230,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: str
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the model learned from the training folds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs.withColumn("__fold", fold_of(F.col("doc_id"), 10)))

@@ -190,5 +190,6 @@ def labelled_by_rules(urls: DataFrame, rules: Sequence[Rule] = RULES, url: str =
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the rules, and by the fitted trees where no rule fits."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, train(labelled_by_rules(pages))).drop("url", "score")
