@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.operators.matching import unmatched
+from terrace.sources.scratch import stored
+
 SAMPLES = 3
 _KINDS = {"bigint": "number", "int": "number", "smallint": "number", "tinyint": "number", "double": "number", "float": "number", "string": "text", "boolean": "bool", "date": "time", "timestamp": "time", "timestamp_ntz": "time"}
 
@@ -33,19 +36,12 @@ def kind_of(dtype: str) -> str:
     return _KINDS.get(dtype, dtype.partition("(")[0])
 
 
-def _numbered(df: DataFrame, exact: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows that agree in the exact columns told apart by their place among them, in the order of the
-    others, so that they pair off one to one."""
-    same = Window.partitionBy(*exact).orderBy(*[F.col(c).asc_nulls_first() for c in order] or [F.lit(1)])
-    return df.withColumn("__n", F.row_number().over(same))
-
-
 def compare_frames(reference: DataFrame, other: DataFrame, key: Sequence[str] = (), rtol: float = 0.0, atol: float = 0.0) -> Comparison:
     """Whether two frames hold the same rows; the order of columns and rows does not matter.
 
     Missing and extra columns, kinds of types, row counts, keys that are absent or repeat in the
-    reference, and the differing values by column with a few samples. Without a key, rows pair off that
-    agree in all columns but the floating ones, in the order of these; so the tolerance holds there too.
+    reference, and the differing values by column with a few samples. Without a key, rows pair off one to
+    one by a largest matching (see matching), and what is left alone is counted and sampled by side.
     """
     why = [f"missing column {c}" for c in sorted(set(reference.columns) - set(other.columns))]
     why += [f"extra column {c}" for c in sorted(set(other.columns) - set(reference.columns))]
@@ -58,11 +54,13 @@ def compare_frames(reference: DataFrame, other: DataFrame, key: Sequence[str] =
     if absent := [k for k in key if k not in shared]:
         return Comparison(False, [*why, f"no key column {absent[0]}"])
     if not key:
-        floating = [c for c in shared if kinds[c] in ("double", "float")]
-        exact = [c for c in shared if c not in floating]
-        reference, other, key = _numbered(reference, exact, floating), _numbered(other, exact, floating), [*exact, "__n"]
-        shared, kinds = [*shared, "__n"], {**kinds, "__n": "int"}
-    elif repeated := reference.groupBy(*key).count().filter("count > 1").limit(1).count():
+        alone = stored(unmatched(reference.select(*shared), other.select(*shared), rtol, atol), "alone")
+        counts = {r["side"]: r["n"] for r in alone.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+        samples = {side: [tuple(r) for r in alone.filter(F.col("side") == side).select(*shared).limit(SAMPLES).collect()] for side in counts}
+        if counts:
+            why.append(f"{sum(counts.values())} rows have no partner")
+        return Comparison(not why, why, {}, samples)
+    if repeated := reference.groupBy(*key).count().filter("count > 1").limit(1).count():
         return Comparison(False, [*why, f"the key repeats ({repeated} or more)"])
     a = reference.select(*[F.col(c).alias(f"a_{c}") for c in shared], F.lit(True).alias("a_there"))
     b = other.select(*[F.col(c).alias(f"b_{c}") for c in shared], F.lit(True).alias("b_there"))
