@@ -33,23 +33,27 @@ def leaf_of(df: DataFrame, key: Sequence[str], bits: int = BITS) -> Column:
     return F.shiftrightunsigned(F.xxhash64(text), 64 - bits).cast("int")
 
 
-def _canonical(df: DataFrame, places: Mapping[str, int]) -> Column:
+def canonical(df: DataFrame, places: Mapping[str, int] | None = None) -> Column:
     """A row's text: columns by name; doubles rounded where told, -0.0 as 0.0, null unlike any text."""
     out = []
     for c, kind in sorted(df.dtypes):
         value = F.col(c)
         if kind in ("double", "float"):
-            value = (F.round(value, places[c]) if c in places else value) + F.lit(0.0)
+            value = (F.round(value, places[c]) if places and c in places else value) + F.lit(0.0)
         out.append(F.struct(F.lit(c).alias("c"), value.cast("string").alias("v")))
     return F.to_json(F.array(*out))
 
 
+def digest_sums(digest: str) -> list[Column]:
+    """Aggregates s0 to s7: the state of a multiset of rows, given the rows' SHA-256."""
+    return [F.sum(F.conv(F.substring(digest, 1 + 7 * i, 7), 16, 10).cast("decimal(38,0)")).alias(s) for i, s in enumerate(_SLICES)]
+
+
 def leaves(df: DataFrame, key: Sequence[str], places: Mapping[str, int] | None = None, bits: int = BITS) -> DataFrame:
     """(node, rows, s0 to s7): the states of a frame's leaves, at most 2**bits rows."""
-    digest = F.sha2(_canonical(df, places or {}), 256)
-    sums = [F.sum(F.conv(F.substring("__digest", 1 + 7 * i, 7), 16, 10).cast("decimal(38,0)")).alias(s) for i, s in enumerate(_SLICES)]
+    digest = F.sha2(canonical(df, places), 256)
     marked = df.select(leaf_of(df, key, bits).alias("node"), digest.alias("__digest"))
-    return marked.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    return marked.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), *digest_sums("__digest"))
 
 
 def tree(df: DataFrame, key: Sequence[str], places: Mapping[str, int] | None = None, bits: int = BITS) -> DataFrame:

@@ -10,7 +10,7 @@ from terrace.functions import text as fn
 from terrace.operators import contract as ct
 from terrace.operators import dictionary, hash_tree, join_task, price_task
 from terrace.plans import proxy
-from terrace.sources import scratch
+from terrace.sources import incremental, scratch
 
 
 def _rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
@@ -175,6 +175,36 @@ def t1_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.differences(bronze, planted, ["district_code", "year_month"], rtol=1e-9).select("district_code", "year_month", "column")
 
 
+# ---- rebuilt by month --------------------------------------------------------------------------
+
+CHANGED_MONTH = "1993-05"
+
+
+def _by_month(spark: SparkSession, sf_dir: str) -> tuple[incremental.Refreshed, incremental.Refreshed]:
+    """T1's prepared and gold layers, built from a source of which one month was wrong, then brought up to
+    date with the right one: what the second refresh of either did."""
+    sales = proxy.trades(spark, sf_dir, names=False).withColumn("year_month", fn.year_month_of("dealYear", "dealMonth"))
+    wrong = sales.withColumn("dealAmount", F.when(F.col("year_month") == CHANGED_MONTH, F.lit("1")).otherwise(F.col("dealAmount")))
+    prepared, gold = scratch.place(spark, "prepared"), scratch.place(spark, "gold")
+    done = []
+    for source in (wrong, sales):
+        first = incremental.refresh(source, prepared, ["year_month"], price_task.prepared_from_bronze)
+        # A month's prices are all in its own partition, so its aggregates are too.
+        done = [first, incremental.refresh(first.rows, gold, ["year_month"], price_task.gold)]
+    return done[0], done[1]
+
+
+def t1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 over a gold layer of which one month was rebuilt."""
+    return _rounded(price_task.analyze(_by_month(spark, sf_dir)[1].rows), T1_ROUND | {"mean_price_yoy_change": 9})
+
+
+def t1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(layer, year_month, change): what the second refresh rebuilt."""
+    prepared, gold = _by_month(spark, sf_dir)
+    return prepared.rebuilt.withColumn("layer", F.lit("prepared")).unionByName(gold.rebuilt.withColumn("layer", F.lit("gold")))
+
+
 _LINES = """
 l AS (SELECT lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS district_code, strftime(l_shipdate, '%Y-%m') AS year_month, {name} AS apt_name,
         l_quantity AS area, floor(l_extendedprice) * 10000 / l_quantity AS price, l_linestatus, round(l_discount * 100) AS rent, l_shipdate, l_extendedprice
@@ -226,6 +256,8 @@ _ROUTES = " SELECT route, (SELECT count(*) FROM g) AS rows, true AS equal, CAST(
 SQL |= {
     "t1_routes": T1_GOLD + _ROUTES,
     "t3_routes": T3_FOLDED + _ROUTES,
+    "t1_incremental": T1_ANALYSIS_SQL,
+    "t1_rebuilt": T1_GOLD + f" SELECT DISTINCT year_month, 'moved' AS change, unnest(['prepared', 'gold']) AS layer FROM g WHERE year_month = '{CHANGED_MONTH}'",
     "t1_difference": T1_GOLD + " SELECT district_code, year_month, 'mean_price_per_m2' AS \"column\" FROM g WHERE year_month LIKE '%-05'",
 }
 SQL |= {"t3_gold_silver": SQL["t3_gold"], "t3_analysis_silver": SQL["t3_analysis"]}
@@ -317,4 +349,4 @@ SELECT 'quantity' AS rule, q AS violations, false AS warned FROM n UNION ALL SEL
 UNION ALL SELECT 'rows', CASE WHEN rows < 100 THEN 100 - rows ELSE 0 END, false FROM n UNION ALL SELECT 'once', CASE WHEN d > rows * 0.01 THEN d ELSE 0 END, true FROM n
 UNION ALL SELECT 'discounted', c, false FROM n""",
 }
-QUERIES = {f.__name__: f for f in (t1_route_silver, t1_route_gold, t1_routes, t3_route_silver, t3_route_gold, t3_routes, t1_difference, t1_bronze, t1_by_value, t3_fold_by_value, encoded_districts, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_gold_silver, t3_analysis_silver, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}
+QUERIES = {f.__name__: f for f in (t1_incremental, t1_rebuilt, t1_route_silver, t1_route_gold, t1_routes, t3_route_silver, t3_route_gold, t3_routes, t1_difference, t1_bronze, t1_by_value, t3_fold_by_value, encoded_districts, t1_silver, t1_analysis, t1_analysis_silver, t3_fold_sales, t3_gold, t3_analysis, t3_gold_silver, t3_analysis_silver, t3_diagnostics, t3_invalid_keys, contract_trades, contract_events, contract_guard_counts, counterfactual_policy)}
