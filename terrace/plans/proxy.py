@@ -58,6 +58,7 @@ def rents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(*[c.alias(k) for k, c in _texts(lines, True).items()], _money("l_extendedprice").alias("deposit"), F.round(F.col("l_discount") * 100).cast("int").cast("string").alias("monthlyRent"))
 
 
+#: Names of the source's fields and of the contracts' columns.
 TRADES = {
     "read_as": {"sggCd": "str"},
     "null_tokens": ["", "-"],
