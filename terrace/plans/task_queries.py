@@ -177,14 +177,13 @@ def t1_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- rebuilt by month --------------------------------------------------------------------------
 
-CHANGED_MONTH = "1993-05"
-
 
 def _by_month(spark: SparkSession, sf_dir: str) -> tuple[incremental.Refreshed, incremental.Refreshed]:
-    """T1's prepared and gold layers, built from a source of which one month was wrong, then brought up to
-    date with the right one: what the second refresh of either did."""
+    """T1's prepared and gold layers, built from a source of which the first month was wrong, then brought
+    up to date with the right one: what the second refresh of either did."""
     sales = proxy.trades(spark, sf_dir, names=False).withColumn("year_month", fn.year_month_of("dealYear", "dealMonth"))
-    wrong = sales.withColumn("dealAmount", F.when(F.col("year_month") == CHANGED_MONTH, F.lit("1")).otherwise(F.col("dealAmount")))
+    month = sales.agg(F.min("year_month")).first()[0]
+    wrong = sales.withColumn("dealAmount", F.when(F.col("year_month") == month, F.lit("1")).otherwise(F.col("dealAmount")))
     prepared, gold = scratch.place(spark, "prepared"), scratch.place(spark, "gold")
     done = []
     for source in (wrong, sales):
@@ -257,7 +256,7 @@ SQL |= {
     "t1_routes": T1_GOLD + _ROUTES,
     "t3_routes": T3_FOLDED + _ROUTES,
     "t1_incremental": T1_ANALYSIS_SQL,
-    "t1_rebuilt": T1_GOLD + f" SELECT DISTINCT year_month, 'moved' AS change, unnest(['prepared', 'gold']) AS layer FROM g WHERE year_month = '{CHANGED_MONTH}'",
+    "t1_rebuilt": T1_GOLD + " SELECT min(year_month) AS year_month, 'moved' AS change, layer FROM g, (SELECT unnest(['prepared', 'gold']) AS layer) GROUP BY layer",
     "t1_difference": T1_GOLD + " SELECT district_code, year_month, 'mean_price_per_m2' AS \"column\" FROM g WHERE year_month LIKE '%-05'",
 }
 SQL |= {"t3_gold_silver": SQL["t3_gold"], "t3_analysis_silver": SQL["t3_analysis"]}
