@@ -138,10 +138,11 @@ def role_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def role_pairs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """role_pairs over layers landed in buckets by ordinal: paired where they lie."""
     bronze, silver, roles = _layers(spark, sf_dir)
-    landed = []
+    # The contract keeps each row of bronze, so one number fits both.
+    landed, buckets = [], layout.buckets_for(bronze)
     for name, df in (("bronze", bronze), ("silver", silver)):
         place = scratch.place(spark, name)
-        landed.append(layout.land_bucketed(df, place.rsplit("/", 1)[-1].replace("-", "_"), place, 8))
+        landed.append(layout.land_bucketed(df, place.rsplit("/", 1)[-1].replace("-", "_"), place, buckets))
     found = pairing.rates(pairing.pair_and_classify(*landed, roles))
     return found.select("role", "rows", "changed", "comparable", "preserved", *[F.round(c, 12).alias(c) for c in ("change_rate", "coverage", "preservation")])
 

@@ -71,9 +71,20 @@ def order_breaks(spark: SparkSession, path: str, keys: Sequence[str], orders: di
     return told.filter((F.col("within") > 0) | F.col("overlaps")).select("file", "within", "overlaps")
 
 
+#: Rows, about, of a bucket: one task sorts those of its bucket on both sides of a join.
+BUCKET_ROWS = 1 << 17
+
+
+def buckets_for(df: DataFrame, least: int = 8, rows: int = BUCKET_ROWS) -> int:
+    """How many buckets a layer of these rows takes, so that a bucket, and with it a task, does not grow
+    with the layer: by a count. Layers that are to pair take the number of the larger one."""
+    most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(max(least, -(-df.count() // rows)), most)
+
+
 def land_bucketed(df: DataFrame, name: str, path: str, buckets: int, ordinal: str = ORDINAL) -> DataFrame:
     """Writes a layer as a table in buckets by ordinal, and gives it back. Two layers of as many buckets
-    join by their ordinals where they lie: neither is shuffled or sorted again."""
+    join by their ordinals where they lie: neither is shuffled again. See buckets_for for their number."""
     spread = df.repartition(buckets, ordinal)
     spread.write.mode("errorifexists").option("path", path).option("compression", "zstd").bucketBy(buckets, ordinal).sortBy(ordinal).saveAsTable(name)
     return df.sparkSession.table(name)

@@ -81,3 +81,20 @@ def test_bucketed_layers_pair_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for n in names:
             spark.sql(f"drop table if exists {n}")
+
+
+def test_buckets_grow_in_number_and_not_in_size(spark):
+    assert [layout.buckets_for(spark.range(n)) for n in (0, 150_000, 9_000_000)] == [8, 8, 69]
+    assert [layout.buckets_for(spark.range(n), least=1, rows=100) for n in (100, 101, 10**9)] == [1, 2, 100_000]
+
+
+def test_role_pairs_are_bucketed_by_their_rows(spark, monkeypatch):
+    from terrace.plans import measure_queries
+
+    monkeypatch.setattr(layout.buckets_for, "__defaults__", (8, 50))
+    asked, land = [], layout.land_bucketed
+    monkeypatch.setattr(layout, "land_bucketed", lambda df, name, path, buckets: asked.append(buckets) or land(df, name, path, buckets))
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    got = measure_queries.role_pairs_bucketed(spark, "/root/testdata/sf0.001")
+    assert asked == [-(-orders // 50)] * 2 and asked[0] > 8
+    assert {r.rows for r in got.collect()} == {orders}
