@@ -1,7 +1,7 @@
 """Comparing large frames by trees of multiset digests.
 
 Rows fall into leaves by the leading bits of their key's hash; a leaf's state is its number of rows and
-eight exact sums of slices of the rows' SHA-256, so states add up: to the nodes above, over partitions,
+eight exact sums of bits drawn from the rows' SHA-256, so states add up: to the nodes above, over partitions,
 and over repeated rows. One aggregation over a frame gives the whole tree, whatever the frame's order
 and partitioning. Two frames are equal where their roots are; else the differing nodes lead down to the
 leaves that differ, and only rows of these leaves are ever compared, without a collect.
@@ -25,12 +25,19 @@ BITS, STEP = 12, 4
 _SLICES = [f"s{i}" for i in range(8)]
 
 
+def _text(columns: Sequence[tuple[str, Column]]) -> Column:
+    """One text of named columns: no two rows of different values have the same. A value stands behind its
+    length, null has none."""
+    texts = [(c, value.cast("string")) for c, value in columns]
+    told = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for _, t in texts]
+    return F.concat(F.lit("".join(f"{len(c)}:{c}" for c, _ in texts) + "="), *told)
+
+
 def leaf_of(df: DataFrame, key: Sequence[str], bits: int = BITS) -> Column:
     """The leaf of a row: the leading bits of its key's hash; without a key, of the row's exact columns."""
     kinds = dict(df.dtypes)
     exact = list(key) or sorted(c for c, t in kinds.items() if t not in ("double", "float"))
-    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in exact])) if exact else F.lit("")
-    return F.shiftrightunsigned(F.xxhash64(text), 64 - bits).cast("int")
+    return F.shiftrightunsigned(F.xxhash64(_text([(c, F.col(c)) for c in exact])), 64 - bits).cast("int")
 
 
 def canonical(df: DataFrame, places: Mapping[str, int] | None = None) -> Column:
@@ -40,13 +47,27 @@ def canonical(df: DataFrame, places: Mapping[str, int] | None = None) -> Column:
         value = F.col(c)
         if kind in ("double", "float"):
             value = (F.round(value, places[c]) if places and c in places else value) + F.lit(0.0)
-        out.append(F.struct(F.lit(c).alias("c"), value.cast("string").alias("v")))
-    return F.to_json(F.array(*out))
+        out.append((c, value))
+    return _text(out)
 
 
 def digest_sums(digest: str) -> list[Column]:
-    """Aggregates s0 to s7: the state of a multiset of rows, given the rows' SHA-256."""
-    return [F.sum(F.conv(F.substring(digest, 1 + 7 * i, 7), 16, 10).cast("decimal(38,0)")).alias(s) for i, s in enumerate(_SLICES)]
+    """Aggregates s0 to s7: the state of a multiset of rows, given the rows' SHA-256. Each is a sum of 28 bits
+    that follow from it, so a long holds 2**35 rows exactly; sums of sums are made as decimals."""
+    out = []
+    for i in range(len(_SLICES) // 2):
+        spread = F.xxhash64(F.lit(i), F.col(digest))
+        out += [F.shiftrightunsigned(spread, 36), spread.bitwiseAND(F.lit((1 << 28) - 1))]
+    return [F.sum(part).alias(s) for part, s in zip(out, _SLICES, strict=True)]
+
+
+def partition_digests(source: DataFrame, partition: Sequence[str] = (), recipe: str = "") -> DataFrame:
+    """(partition, rows, digest): the multiset digest of each partition's rows, whatever their order; without a
+    partition, that of the whole frame in one row."""
+    marked = source.select(*partition, F.sha2(canonical(source), 256).alias("__digest"))
+    summed = marked.groupBy(*partition).agg(F.count(F.lit(1)).alias("rows"), *digest_sums("__digest"))
+    parts = [F.col(c).cast("string") for c in ("rows", *_SLICES)]
+    return summed.select(*partition, "rows", F.sha2(F.concat_ws(",", F.lit(recipe), *parts), 256).alias("digest"))
 
 
 def leaves(df: DataFrame, key: Sequence[str], places: Mapping[str, int] | None = None, bits: int = BITS) -> DataFrame:
@@ -61,7 +82,7 @@ def tree(df: DataFrame, key: Sequence[str], places: Mapping[str, int] | None = N
     depth = -(-bits // STEP)
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
     nodes = leaves(df, key, places, bits).select(level, "*").withColumn("node", F.expr(f"shiftright(node, greatest(0, {bits} - level * {STEP}))"))
-    summed = nodes.groupBy("level", "node").agg(F.sum("rows").alias("rows"), *[F.sum(s).alias(s) for s in _SLICES])
+    summed = nodes.groupBy("level", "node").agg(F.sum("rows").alias("rows"), *[F.sum(F.col(s).cast("decimal(38,0)")).alias(s) for s in _SLICES])
     return summed.select("level", "node", "rows", F.sha2(F.concat_ws(",", F.col("rows").cast("string"), *[F.col(s).cast("string") for s in _SLICES]), 256).alias("digest"))
 
 

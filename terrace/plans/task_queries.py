@@ -182,6 +182,7 @@ def _by_month(spark: SparkSession, sf_dir: str) -> tuple[incremental.Refreshed,
     """T1's prepared and gold layers, built from a source of which the first month was wrong, then brought
     up to date with the right one: what the second refresh of either did."""
     sales = proxy.trades(spark, sf_dir, names=False).withColumn("year_month", fn.year_month_of("dealYear", "dealMonth"))
+    sales = scratch.stored(sales, "sales")  # read five times, so its texts are made once
     month = sales.agg(F.min("year_month")).first()[0]
     wrong = sales.withColumn("dealAmount", F.when(F.col("year_month") == month, F.lit("1")).otherwise(F.col("dealAmount")))
     prepared, gold = scratch.place(spark, "prepared"), scratch.place(spark, "gold")

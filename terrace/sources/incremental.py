@@ -15,18 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.operators.hash_tree import canonical, digest_sums
+from terrace.operators.hash_tree import partition_digests
 from terrace.sources.scratch import stored
 
 
-def partition_digests(source: DataFrame, partition: Sequence[str], recipe: str = "") -> DataFrame:
-    """(partition, rows, digest): the multiset digest of each partition's rows, whatever their order."""
-    marked = source.select(*partition, F.sha2(canonical(source), 256).alias("__digest"))
-    summed = marked.groupBy(*partition).agg(F.count(F.lit(1)).alias("rows"), *digest_sums("__digest"))
-    parts = [c for c in summed.columns if c not in partition]
-    return summed.select(*partition, "rows", F.sha2(F.concat_ws(",", F.lit(recipe), *[F.col(c).cast("string") for c in parts]), 256).alias("digest"))
-
-
 def _same(a: DataFrame, b: DataFrame, partition: Sequence[str]) -> Column:
     same = F.lit(True)
     for c in partition:
@@ -47,6 +39,12 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} cannot be moved to {target}")
 
 
+def _files(spark: SparkSession, layer: str, partition: Sequence[str]) -> DataFrame:
+    """(partition, path): a layer's files, as they are listed; none is opened."""
+    kinds = ["path string", "modificationTime timestamp", "length bigint", "content binary", *[f"`{c}` string" for c in partition]]
+    return spark.read.schema(", ".join(kinds)).option("pathGlobFilter", "*.parquet").format("binaryFile").load(layer).select(*partition, "path")
+
+
 @dataclass
 class Refreshed:
     """rows: the layer as it is now; rebuilt: (partition, change) for each partition that was built (`new`,
@@ -79,22 +77,20 @@ def refresh(source: DataFrame, path: str, partition: Sequence[str], build: Calla
     wanted = changed.filter("change <> 'gone'")
     built = build(source.join(wanted, _same(source, wanted, partition), "left_semi"))
     layer = f"{path.rstrip('/')}/rows"
+    before = stored(_files(spark, layer, partition), "files") if _exists(spark, layer) else None
     if not wanted.isEmpty():
         built.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(layer)
+    if before is not None:
+        # A dynamic overwrite leaves partitions alone of which no row came out: what changed and still has a
+        # file of before goes. That takes the names of files, not the rows once more.
+        left = _files(spark, layer, partition).join(before.select("path"), "path", "left_semi")
+        stale = left.join(changed, _same(left, changed, partition), "left_semi").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+        for r in stale.distinct().collect():  # one name a partition that has gone
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r["folder"])
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     written = [*[f for f in built.schema.fields if f.name not in partition], *[f for f in built.schema.fields if f.name in partition]]
     schema = built.schema.__class__(written)
     here = spark.read.schema(schema).parquet(layer) if _exists(spark, layer) else spark.createDataFrame([], schema)
-    # Partitions without rows leave no trace of themselves in a dynamic overwrite: their old files go.
-    stale = here.select(*partition, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")).distinct() if _exists(spark, layer) else None
-    if stale is not None:
-        moved = stale.join(changed, _same(stale, changed, partition))
-        made = stored(built.select(*partition).distinct(), "made") if not wanted.isEmpty() else wanted.select(*partition)
-        empty = moved.select(stale["*"]).join(made, _same(stale, made, partition), "left_anti").select("folder").collect()
-        for r in empty:  # one name a partition that has gone
-            # The reader tells paths as URIs, with their signs escaped.
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(r["folder"]))
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        here = spark.read.schema(schema).parquet(layer) if _exists(spark, layer) else spark.createDataFrame([], schema)
     beside = f"{told}.{uuid.uuid4().hex}"
     new.write.parquet(beside)
     _move(spark, beside, told)

@@ -70,3 +70,12 @@ def test_routes(spark):
     for bad in ([route("bronze", a), route("silver", a, "t3")], [route("bronze", a), route("bronze", a)], [route("bronze", a), route("silver", a.drop("t"))]):
         with pytest.raises(ValueError):
             ht.equivalence(bad, ["k"])
+
+
+def test_states_are_sums_of_longs_and_texts_tell_rows_apart(spark):
+    a = frame(spark, rows())
+    assert {t for c, t in ht.leaves(a, ["k", "m"]).dtypes if c.startswith("s")} == {"bigint"}
+    odd = [("a", 1, 0.5, t) for t in (None, "", "-", "1:a", "--", ":")] + [(k, 1, 0.5, t) for k, t in (("1:", ""), ("", "1:"), ("-", None), (None, "-"))]
+    assert frame(spark, odd).select(ht.canonical(frame(spark, odd))).distinct().count() == len(odd)
+    whole = lambda df: [tuple(r) for r in ht.partition_digests(df).collect()]
+    assert whole(a) == whole(a.repartition(5)) != whole(a.unionByName(a.limit(1))) and whole(a.limit(0))[0][0] == 0

@@ -83,3 +83,18 @@ def test_an_empty_source(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     got = inc.refresh(empty, str(tmp_path / "layer"), ["m"], build)
     assert got.rows.collect() == [] and told(got) == set()
+
+
+def test_a_refresh_builds_its_rows_once(spark, tmp_path):
+    built = spark.sparkContext.accumulator(0)
+
+    def seen(m):
+        built.add(1)
+        return m
+
+    path, source = str(tmp_path / "layer"), spark.createDataFrame([("2020-01", 1, 0.5)] * 40 + [("2020-02", 2, 0.5)] * 60, SCHEMA)
+    through = lambda df: df.filter(F.udf(seen, "string")("m").isNotNull())
+    inc.refresh(source, path, ["m"], through)
+    assert built.value == 100
+    inc.refresh(source.filter("m = '2020-01' or k < 2").unionByName(source.filter("m = '2020-02'").limit(7)), path, ["m"], through)
+    assert built.value <= 147  # no row of the source twice
