@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -29,8 +30,10 @@ from terrace.llm.shared import give_back, read, ship_code
 
 #: Bytes, about, of the encodings that a worker remembers, and seams it remembers; beyond either that
 #: memory starts anew, results stay.
-CACHE_BYTES = 64 << 20
-CACHE_SEAMS = 200_000
+CACHE_BYTES = 128 << 20
+CACHE_SEAMS = 400_000
+#: Steps of the search for tokens that a worker remembers.
+CACHE_STEPS = 100_000
 SLICE_ROWS = 128
 
 
@@ -56,12 +59,30 @@ class Vocabulary:
                     self.halves[i] = two
                     self.merged[two] = i
 
-        #: Finds all tokens that end at a byte, from the longest to the shortest; bytes as latin-1.
+        #: Tokens by their bytes, as latin-1; it also tells what is the beginning of a token.
         self.finder = ahocorasick.Automaton()
         for t, i in ranks.items():
             if len(t) == 1 or i in self.halves:
                 self.finder.add_word(t.decode("latin-1"), (len(t), i))
-        self.finder.make_automaton()
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        #: Behind each byte a state: the longest end of what was read that begins a token. A step, by state
+        #: and byte, gives the next state and the tokens that end there, from the longest to the shortest.
+        self._ends: list[str] = [""]
+        self._states: dict[str, int] = {"": 0}
+        self._steps: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        end = self._ends[state] + chr(byte)
+        while end and not self.finder.match(end):
+            end = end[1:]
+        if end not in self._states:
+            self._states[end] = len(self._ends)
+            self._ends.append(end)
+        found = (self.finder.get(end[k:], None) for k in range(len(end)))
+        got = self._steps[state << 8 | byte] = self._states[end], tuple(x for x in found if x)
+        return got
 
     def _last_merge(self, t: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens that BPE joins last to make t, by plain merging below its rank."""
@@ -106,23 +127,25 @@ class Vocabulary:
     def extend(self, piece: bytes, last: list[int], start: list[int]) -> None:
         """Continues the prefix table of a piece: last[k] is the last token of piece[: k + 1],
         start[k] where that token begins."""
-        seam, agrees, done = self._agrees.get, self.agrees, len(last)
-        for at, (length, t) in self.finder.iter(piece.decode("latin-1")):
+        if len(self._steps) >= CACHE_STEPS:
+            self._start_anew()
+        seam, agrees, step, done, state = self._agrees.get, self.agrees, self._steps.get, len(last), 0
+        for at, byte in enumerate(piece):
+            state, ends = step(state << 8 | byte) or self._step(state, byte)
             if at < done:
                 continue
-            if at > done:
+            for length, t in ends:
+                begin = at + 1 - length
+                if begin:
+                    left = last[begin - 1]
+                    fits = seam(left << 32 | t)
+                    if not (agrees(left, t) if fits is None else fits):
+                        continue
+                last.append(t)
+                start.append(begin)
                 break
-            begin = at + 1 - length
-            if begin:
-                left = last[begin - 1]
-                fits = seam(left << 32 | t)
-                if not (agrees(left, t) if fits is None else fits):
-                    continue
-            last.append(t)
-            start.append(begin)
-            done += 1
-        if done < len(piece):
-            raise ValueError(f"no token ends at byte {done} of {piece!r}")
+            else:
+                raise ValueError(f"no token ends at byte {at} of {piece!r}")
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -145,13 +168,27 @@ def read_back(last: list[int], start: list[int]) -> tuple[int, ...]:
 
 class Memory(dict):
     """Encodings of chunks seen lately. A new chunk is cut into the pattern's pieces, each encoded by its
-    prefix table."""
+    prefix table. Pieces are remembered too, so that a word is encoded once, whatever stands behind it: one
+    that begins with `before` here, as the chunk that it would be alone, others in `others`."""
 
-    def __init__(self, find: Callable[[str], list[str]], encode_piece: Callable[[bytes], tuple[int, ...]], before: str) -> None:
+    def __init__(self, find: Callable[[str], list[str]], encode_piece: Callable[[bytes], tuple[int, ...]], before: str, others: Memory | None = None) -> None:
         self.find, self.encode_piece, self.before, self.held = find, encode_piece, before, 0
+        self.others = self if others is None else others
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        got = tuple(chain.from_iterable(self.encode_piece(piece.encode()) for piece in self.find(self.before + chunk)))
+        pieces = self.find(self.before + chunk)
+        got = self.encode_piece(pieces[0].encode()) if len(pieces) == 1 else tuple(chain.from_iterable(map(self.piece, pieces)))
+        return self.keep(chunk, got)
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """The encoding of one of the pattern's pieces; it is not cut again."""
+        if not piece.startswith(self.before):
+            return self.others.piece(piece)
+        chunk = piece[len(self.before) :]
+        got = self.get(chunk)
+        return self.keep(chunk, self.encode_piece(piece.encode())) if got is None else got
+
+    def keep(self, chunk: str, got: tuple[int, ...]) -> tuple[int, ...]:
         if len(chunk) <= 256:
             self.held += 200 + len(chunk) * (1 if chunk.isascii() else 4) + 8 * len(got)
             if self.held > CACHE_BYTES:
@@ -173,7 +210,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, apart: bool) -> None:
         find = regex.compile(pattern).findall
-        self.first, self.later, self.apart = Memory(find, vocabulary.encode_piece, ""), Memory(find, vocabulary.encode_piece, " "), apart
+        self.first, self.apart = Memory(find, vocabulary.encode_piece, ""), apart
+        self.later = Memory(find, vocabulary.encode_piece, " ", self.first)
         self.find, self.pieces = find, Memory(lambda piece: [piece], vocabulary.encode_piece, "")
 
     def packed(self, text: str) -> bytes:
@@ -222,6 +260,15 @@ def _vocabulary(data: bytes) -> Vocabulary:
     return Vocabulary(load_ranks(data))
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(data: bytes, pattern: str, apart: bool) -> Encoder:
+    """A worker's encoder, which keeps what it remembers from task to task. The vocabulary stays as long as the
+    worker, so it is taken out of the search for garbage, which is a quarter of the time otherwise."""
+    encoder = Encoder(_vocabulary(data), pattern, apart)
+    gc.freeze()
+    return encoder
+
+
 @functools.lru_cache(maxsize=1)
 def _tokens(data: bytes) -> list[bytes | None]:
     """Bytes by id: all that decoding needs."""
@@ -275,7 +322,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     ranks = _shipped(docs.sparkSession, path)
 
     def made() -> Callable[[pa.RecordBatch], list[list[bytes]]]:
-        encoder = Encoder(_vocabulary(ranks.value), pattern, apart)
+        encoder = _encoder(ranks.value, pattern, apart)
         table = _tokens(ranks.value) if decoded else []
 
         def make(batch: pa.RecordBatch) -> list[list[bytes]]:

@@ -526,3 +526,16 @@ def test_toxicity_scores_are_calibrated():
     slope, offset, _ = toxicity._calibrated(x, np.arange(40_000) >= 20_000)
     # Two normal distributions of variance 4 and means -3 and 3 have log odds of 1.5 x.
     assert abs(slope - 1.5) < 0.1 and abs(offset) < 0.1
+
+
+def test_a_word_is_encoded_once_whatever_stands_behind_it():
+    import regex
+
+    from terrace.llm import bpe
+
+    asked = []
+    find = regex.compile(r" ?\w+| ?[^\s\w]+|\s+").findall
+    first = bpe.Memory(find, lambda piece: asked.append(piece) or tuple(piece), "")
+    later = bpe.Memory(find, first.encode_piece, " ", first)
+    assert [later[c] for c in ("word", "word,", "word.", "word,word")] == [tuple(b) for b in (b" word", b" word,", b" word.", b" word,word")]
+    assert sorted(asked) == [b" word", b",", b".", b"word"]
