@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.json_types import digits, json_text, native_type, spelt, type_bit, types_in
-from terrace.operators.hash_tree import differing, tree
+from terrace.operators.hash_tree import partition_digests
 
 ORDINAL = "_ordinal"
 
@@ -192,9 +192,10 @@ def reencode(spark: SparkSession, source: str, target: str, rows: int = ROW_GROU
     before = spark.read.parquet(source)
     land_controlled(before, target, rows)
     after = spark.read.schema(before.schema).parquet(target)
-    if bad := differing(tree(before, ()), tree(after, ())).filter("level = 0").first():
-        raise ValueError(f"{target} does not hold the rows of {source}: {bad['rows_b']} rows, {bad['rows_a']} before")
-    return after.count()
+    was, now = (partition_digests(df).first() for df in (before, after))
+    if was != now:
+        raise ValueError(f"{target} does not hold the rows of {source}: {now['rows']} rows, {was['rows']} before")
+    return now["rows"]
 
 
 def classify(header: Sequence[str]) -> str:
