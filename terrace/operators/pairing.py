@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from terrace.functions.json_types import json_kind, json_text
 from terrace.functions.text import NUMERIC, trimmed, zfill
-from terrace.operators.dictionary import Group, evaluated
 from terrace.operators.roles import Role, holds, interpreted, padded, read, stored_value
 
 #: The names of the causes, in the order in which their rules are tried.
@@ -42,28 +41,27 @@ def token(df: DataFrame, column: str) -> Column:
     return F.struct(F.when(text.isNull(), "null").otherwise(F.coalesce(name, F.lit("null"))).alias("kind"), text.alias("value"))
 
 
-def _cells(roles: Sequence[Role], df: DataFrame, layer: str, side: str, by_value: bool = False) -> DataFrame:
-    """_ordinal and for each role a struct `<side>_<role>` of t (stored text), k (type of what is stored),
-    r (readable) and v (canonical value). Text, reading and padding are a projection each, so that no
-    cell is read twice; by_value reads each different text once, where they are few."""
+def _texts(roles: Sequence[Role], df: DataFrame, layer: str, side: str = "") -> DataFrame:
+    """_ordinal and for each role, by its number, `<side>t` (stored text) and `<side>k` (type of what is stored)."""
 
     def kind(role: Role) -> Column:
         names = [c for c in (role.bronze if layer == "bronze" else role.silver) if c in df.columns]
         return F.lit("str") if len(names) > 1 else token(df, names[0])["kind"]
 
-    texts = df.select(ORDINAL, *[c for i, r in enumerate(roles) for c in (stored_value(r, layer, df.columns).cast("string").alias(f"t{i}"), kind(r).alias(f"k{i}"))])
-    if by_value:
-        groups = [Group([f"t{i}", f"k{i}"], {f"t{i}": F.col(f"t{i}"), f"k{i}": F.col(f"k{i}"), f"v{i}": read(r, F.col(f"t{i}"))}) for i, r in enumerate(roles)]
-        values = evaluated(texts, groups)
-    else:
-        values = texts.select("*", *[read(r, F.col(f"t{i}")).alias(f"v{i}") for i, r in enumerate(roles)])
-    cells = []
-    for i, r in enumerate(roles):
-        text, value = F.col(f"t{i}"), F.col(f"v{i}")
-        of_kind = F.when(text.isNull(), "null").otherwise(F.col(f"k{i}"))
-        readable = ~holds(text, r.null_tokens) | value.isNotNull()
-        cells.append(F.struct(text.alias("t"), of_kind.alias("k"), readable.alias("r"), padded(r, value).alias("v")).alias(f"{side}_{r.name}"))
-    return values.select(ORDINAL, *cells)
+    return df.select(ORDINAL, *[c for i, r in enumerate(roles) for c in (stored_value(r, layer, df.columns).cast("string").alias(f"{side}t{i}"), kind(r).alias(f"{side}k{i}"))])
+
+
+def _cell(role: Role, text: Column, kind: Column, value: Column) -> tuple[Column, ...]:
+    """A cell's stored text, type of what is stored, whether it can be read, and canonical value."""
+    return text, F.when(text.isNull(), "null").otherwise(kind), ~holds(text, role.null_tokens) | value.isNotNull(), padded(role, value)
+
+
+def _cells(roles: Sequence[Role], df: DataFrame, layer: str, side: str) -> DataFrame:
+    """_ordinal and for each role a struct `<side>_<role>` of its cell, t, k, r and v. Text, reading and
+    padding are a projection each, so that no cell is read twice."""
+    values = _texts(roles, df, layer).select("*", *[read(r, F.col(f"t{i}")).alias(f"v{i}") for i, r in enumerate(roles)])
+    cells = [_cell(r, *(F.col(f"{c}{i}") for c in "tkv")) for i, r in enumerate(roles)]
+    return values.select(ORDINAL, *[F.struct(*[c.alias(n) for n, c in zip("tkrv", cell, strict=True)]).alias(f"{side}_{r.name}") for r, cell in zip(roles, cells, strict=True)])
 
 
 def cause(role: Role, b: tuple[Column, ...], s: tuple[Column, ...]) -> Column:
@@ -102,21 +100,43 @@ def structural(role: Role) -> str:
     return "same_name" if role.bronze[0] == role.name else "rename"
 
 
+def _verdict(role: Role, b: tuple[Column, ...], s: tuple[Column, ...]) -> Column:
+    """What is counted of a pair of cells."""
+    comparable = b[2] & s[2]
+    return F.struct(F.lit(role.name).alias("role"), F.lit(role.required).alias("required"), cause(role, b, s).alias("cause"), comparable.alias("comparable"), (comparable & b[3].eqNullSafe(s[3])).alias("preserved"))
+
+
+def _pairs(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role]) -> DataFrame:
+    """(role, required, cause, comparable, preserved, n): each row's cells are read, then paired."""
+    both = _cells(roles, bronze, "bronze", "b").join(_cells(roles, silver, "silver", "s"), ORDINAL)
+    found = [_verdict(r, *(tuple(F.col(f"{side}_{r.name}")[n] for n in "tkrv") for side in "bs")) for r in roles]
+    return both.select(F.inline(F.array(*found)), F.lit(1).cast("bigint").alias("n"))
+
+
+def _pairs_by_value(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role]) -> DataFrame:
+    """_pairs with the stored texts paired first: each different pair of a role is counted, on the map
+    side, and read once with its count. No layer is passed over twice and nothing is broadcast."""
+    both = _texts(roles, bronze, "bronze", "b").join(_texts(roles, silver, "silver", "s"), ORDINAL)
+    names = ("bt", "bk", "st", "sk")
+    each = [F.struct(F.lit(i).alias("i"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i in range(len(roles))]
+    counted = both.select(F.inline(F.array(*each))).groupBy("i", *names).agg(F.count(F.lit(1)).alias("n"))
+    # One reader a role, of which a pair meets its own only.
+    of_role = lambda made: F.coalesce(*[F.when(F.col("i") == i, made(r)) for i, r in enumerate(roles)])
+    values = counted.select("*", *[of_role(lambda r, t=t: read(r, F.col(t))).alias(v) for t, v in (("bt", "bv"), ("st", "sv"))])
+    found = of_role(lambda r: _verdict(r, *(_cell(r, *(F.col(f"{side}{c}") for c in "tkv")) for side in "bs")))
+    return values.select(found.alias("found"), "n").select("found.*", "n")
+
+
 def pair_and_classify(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role], by_value: bool = False) -> DataFrame:
     """(role, required, rows, changed, comparable, preserved, and a column for each cause), one row a role.
 
     Layers are paired by _ordinal. changed: what is stored differs; comparable: both sides can be
-    read; preserved: comparable and of the same value. Causes add up to rows. by_value reads columns
-    of few values once a value (see dictionary).
+    read; preserved: comparable and of the same value. Causes add up to rows. by_value reads each
+    different pair of texts once.
     """
-    both = _cells(roles, bronze, "bronze", "b", by_value).join(_cells(roles, silver, "silver", "s", by_value), ORDINAL)
-    cells = []
-    for r in roles:
-        b, s = (tuple(F.col(f"{side}_{r.name}")[n] for n in "tkrv") for side in "bs")
-        comparable = b[2] & s[2]
-        cells.append(F.struct(F.lit(r.name).alias("role"), F.lit(r.required).alias("required"), cause(r, b, s).alias("cause"), comparable.alias("comparable"), (comparable & b[3].eqNullSafe(s[3])).alias("preserved")))
+    pairs = (_pairs_by_value if by_value else _pairs)(bronze, silver, roles)
     # Counted by what can differ first: few rows, on the map side; then spread over columns.
-    long = both.select(F.inline(F.array(*cells))).groupBy("role", "required", "cause", "comparable", "preserved").agg(F.count(F.lit(1)).alias("n"))
+    long = pairs.groupBy("role", "required", "cause", "comparable", "preserved").agg(F.sum("n").alias("n"))
     of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
     return long.groupBy("role", "required").agg(
         F.sum("n").alias("rows"),

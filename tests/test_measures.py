@@ -98,6 +98,21 @@ def test_semantic_difference_and_row_identity(spark):
         pairing.assert_row_identity(raw, silver, [r for r in roles if not r.required])
 
 
+def test_pairs_of_texts_are_read_once(spark):
+    raw, silver = layers(spark)
+    roles = ro.plan_roles(CONTRACT)
+    odd = raw.unionByName(spark.createDataFrame([(3, "x", None, "2020-13", None, "-"), (3, " 7 ", "+12", None, None, ""), (4, None, "00012", "202001", "2020-01", "-")], raw.schema))
+    odd = odd.withColumn("p", F.when(F.col("_ordinal") % 2 == 0, perturb.to_variant(F.col("p"))).otherwise(F.parse_json(F.lit("7"))))
+    wrong = silver.unionByName(spark.createDataFrame([(3, None, 9, None, None), (4, "y", None, "99999", "2020-02")], "_ordinal bigint, plain string, price bigint, station string, ym string"))
+    often = lambda df: df.crossJoin(spark.range(50)).withColumn("_ordinal", F.col("_ordinal") * 50 + F.col("id")).drop("id")
+    for b, s in ((odd, wrong), (often(odd), often(wrong)), (raw.limit(0), silver)):
+        by_value = pairing.pair_and_classify(b, s, roles, by_value=True)
+        assert sorted(map(tuple, by_value.collect())) == sorted(map(tuple, pairing.pair_and_classify(b, s, roles).collect()))
+        # The layers are paired once, and no dictionary is joined to them.
+        joins = [line for line in by_value._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+        assert len(joins) <= 1 and "broadcast" not in "".join(joins)
+
+
 def test_tokens_keep_types_apart(spark):
     df = spark.createDataFrame([("1",), ('"1"',), ("1.0",), ("null",), ("true",), (None,)], "j string").select(F.parse_json("j").alias("v"))
     assert [r[0].kind for r in df.select(pairing.token(df, "v")).collect()] == ["int", "str", "float", "null", "bool", "null"]
