@@ -55,15 +55,22 @@ def values_of(df: DataFrame, groups: Sequence[Group]) -> DataFrame:
     null in the columns of the others, by one pass over the source. Nulls are values."""
     keys = [_keys(df, g.inputs) for g in groups]
     named = [(n, k) for i, ks in enumerate(keys) for n, k in zip(_on(i, len(ks)), ks, strict=True)]
-    # Of variants any one stands for those of its type and text.
-    table = df.select(*[k.alias(n) for n, k in named], *{c: F.col(c) for g in groups for c in g.inputs}.values())
+    types = dict(df.dtypes)
+    inputs = list(dict.fromkeys(c for g in groups for c in g.inputs))
+    variants = [c for c in inputs if types[c] == "variant"]
+    table = df.select(*[k.alias(n) for n, k in named], *variants)
     kinds = dict(table.dtypes)
-    each = []
+    each, known = [], {}
     for i, g in enumerate(groups):
-        own = {*_on(i, len(keys[i])), *g.inputs}
+        names = _on(i, len(keys[i]))
+        own, left = {*names, *g.inputs}, iter(names)
+        known |= {c: next(left) for c in g.inputs for _ in range(1 + (types[c] == "variant"))}
         each.append(F.struct(F.lit(i).alias("__group"), *[(F.col(c) if c in own else F.lit(None).cast(kinds[c])).alias(c) for c in table.columns]))
-    inputs = [c for c in table.columns if c not in dict(named)]
-    return table.select(F.inline(F.array(*each))).groupBy("__group", *dict(named)).agg(*[F.any_value(c).alias(c) for c in inputs])
+    grouped = table.select(F.inline(F.array(*each))).groupBy("__group", *dict(named))
+    # Other inputs are their own keys: without an aggregate of texts the rows are grouped by hash, not by a
+    # sort. Of variants any one stands for those of its type and text.
+    found = grouped.agg(*[F.any_value(c).alias(c) for c in variants]) if variants else grouped.agg(F.count(F.lit(1)).alias("__n"))
+    return found.select("__group", *dict(named), *[F.col(c if c in variants else known[c]).alias(c) for c in inputs])
 
 
 def _sizes(values: DataFrame) -> dict[int, tuple[int, int]]:

@@ -51,6 +51,14 @@ def test_too_large_to_broadcast_is_joined_by_shuffle(spark, monkeypatch):
     assert dic.encoded(df, ["sggCd"]).values is None
 
 
+def test_texts_are_grouped_without_a_sort(spark):
+    df = sales(spark)
+    values = dic.values_of(df, [dic.Group(["sggCd"]), dic.Group(["dealYear", "dealMonth"])])
+    assert "Sort" not in values._jdf.queryExecution().executedPlan().toString()
+    wanted = [(0, r[0], None, None) for r in df.select("sggCd").distinct().collect()] + [(1, None, *r) for r in df.select("dealYear", "dealMonth").distinct().collect()]
+    assert rows(values.select("__group", "sggCd", "dealYear", "dealMonth")) == sorted(f"Row(__group={g}, sggCd={a!r}, dealYear={y!r}, dealMonth={m!r})" for g, a, y, m in wanted)
+
+
 def test_values_of_several_types_stay_apart(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join('{"x": %s}' % draw for draw in ["1", "1.0", '"1"', "null", "true"] * 20))
     df = records.read_jsonl(spark, str(tmp_path))
