@@ -127,12 +127,12 @@ def _pairs_by_value(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role])
     return values.select(found.alias("found"), "n").select("found.*", "n")
 
 
-def pair_and_classify(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role], by_value: bool = False) -> DataFrame:
+def pair_and_classify(bronze: DataFrame, silver: DataFrame, roles: Sequence[Role], by_value: bool = True) -> DataFrame:
     """(role, required, rows, changed, comparable, preserved, and a column for each cause), one row a role.
 
     Layers are paired by _ordinal. changed: what is stored differs; comparable: both sides can be
     read; preserved: comparable and of the same value. Causes add up to rows. by_value reads each
-    different pair of texts once.
+    different pair of texts once; else every row's cells are read.
     """
     pairs = (_pairs_by_value if by_value else _pairs)(bronze, silver, roles)
     # Counted by what can differ first: few rows, on the map side; then spread over columns.

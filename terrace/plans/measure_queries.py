@@ -147,7 +147,7 @@ def role_pairs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("role", "rows", "changed", "comparable", "preserved", *[F.round(c, 12).alias(c) for c in ("change_rate", "coverage", "preservation")])
 
 
-def role_transitions(spark: SparkSession, sf_dir: str, by_value: bool = False) -> DataFrame:
+def role_transitions(spark: SparkSession, sf_dir: str, by_value: bool = True) -> DataFrame:
     """(role, cause, n), without the causes that do not occur."""
     wide = pairing.pair_and_classify(*_layers(spark, sf_dir), by_value=by_value)
     return wide.select("role", F.inline(F.array(*[F.struct(F.lit(c).alias("cause"), F.col(f"`{c}`").alias("n")) for c in pairing.CAUSES]))).filter("n > 0")
